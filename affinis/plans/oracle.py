@@ -143,7 +143,130 @@ def sql_interactions() -> dict[str, str]:
     return q
 
 
+# --------------------------------------------------------------------- ratings
+R_RAW = """r_raw AS (
+  SELECT CAST(o.o_custkey AS INTEGER) AS userid, CAST(l.l_partkey AS INTEGER) AS itemid,
+         ceil(l.l_quantity / 5) / 2 AS rating, CAST(floor(epoch(l.l_shipdate)) AS BIGINT) AS ts,
+         l.l_orderkey AS seq_major, CAST(l.l_linenumber AS BIGINT) AS seq_minor
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+
+R = """r AS (
+  SELECT userid, itemid, rating, ts FROM (
+    SELECT *, row_number() OVER (PARTITION BY userid, itemid
+                                 ORDER BY ts DESC, seq_major DESC, seq_minor DESC) AS rn
+    FROM r_raw) WHERE rn = 1)"""
+
+ASOF = """ref_time AS (SELECT max(ts) AS as_of FROM r)"""
+
+ACTIVE = """active AS (SELECT DISTINCT userid FROM r WHERE ts > (SELECT as_of FROM ref_time) - 2592000)"""
+
+R_CHAIN = [R_RAW, R, ASOF, ACTIVE]
+
+STATS = """stats AS (SELECT itemid, avg(rating) AS mean_rating, count(*) AS n_ratings
+                    FROM r GROUP BY itemid)"""
+
+
+def popular(bound: str) -> str:
+    return with_(R_CHAIN + [STATS, f"""ranked AS (
+  SELECT *, row_number() OVER (ORDER BY n_ratings DESC, itemid) AS rk FROM stats),
+kept AS (SELECT * FROM ranked WHERE rk <= floor(({bound}) / 10)),
+mx AS (SELECT max(n_ratings) AS max_n, max(mean_rating) AS max_mean FROM kept)"""],
+        """SELECT itemid, round(mean_rating, 6) AS mean_rating, n_ratings,
+                  round(sqrt(n_ratings) + pi() * sqrt(max_n) / sqrt(max_mean) * sqrt(mean_rating), 6) AS score
+           FROM kept, mx""")
+
+
+def sql_ratings() -> dict[str, str]:
+    q = {}
+    q["ratings_latest"] = with_(R_CHAIN, "SELECT userid, itemid, rating, ts FROM r")
+    q["ratings_keyed"] = with_(
+        R_CHAIN, """SELECT userid, itemid, CAST(userid AS VARCHAR) || ':' || CAST(itemid AS VARCHAR) AS rkey,
+                           CAST(rating * 2 AS INTEGER) AS rating10 FROM r""")
+    q["ratings_after"] = with_(
+        R_CHAIN, "SELECT userid, itemid, rating, ts FROM r WHERE ts > (SELECT as_of FROM ref_time) - 604800")
+    q["active_users"] = with_(R_CHAIN, "SELECT userid FROM active")
+    q["last_n_users"] = with_(
+        R_CHAIN, """SELECT DISTINCT userid FROM (
+                      SELECT userid FROM r ORDER BY ts DESC, userid DESC, itemid DESC LIMIT 1000)""")
+    q["all_users"] = with_(R_CHAIN, "SELECT DISTINCT userid FROM r")
+    q["rated_items"] = with_(R_CHAIN, "SELECT DISTINCT itemid FROM r")
+    q["catalogue_items"] = "SELECT DISTINCT CAST(p_partkey AS INTEGER) AS itemid FROM part"
+    q["unrated_pairs"] = with_(
+        R_CHAIN, """SELECT a.userid, i.itemid FROM active a CROSS JOIN (SELECT DISTINCT itemid FROM r) i
+                    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.userid = a.userid AND r.itemid = i.itemid)""")
+    q["unrated_pairs_catalogue"] = with_(
+        R_CHAIN, """SELECT a.userid, i.itemid FROM active a
+                    CROSS JOIN (SELECT DISTINCT CAST(p_partkey AS INTEGER) AS itemid FROM part) i
+                    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.userid = a.userid AND r.itemid = i.itemid)""")
+    q["item_stats"] = with_(
+        R_CHAIN + [STATS], "SELECT itemid, round(mean_rating, 6) AS mean_rating, n_ratings FROM stats")
+    q["popular_items"] = popular("SELECT count(*) FROM r")
+    q["popular_items_by_items"] = popular("SELECT count(*) FROM stats")
+    q["train_test_split"] = with_(
+        R_CHAIN, """SELECT userid, itemid, rating, ts,
+                           CASE WHEN row_number() OVER (PARTITION BY userid ORDER BY ts, itemid)
+                                     <= floor(count(*) OVER (PARTITION BY userid) * 0.7::DOUBLE)
+                                THEN 'train' ELSE 'test' END AS split
+                    FROM r""")
+    return q
+
+
+# ----------------------------------------------------------------------- items
+I = """i AS (
+  SELECT CAST(p_partkey AS INTEGER) AS itemid, replace(p_name, ' ', '|') AS labels,
+         p_type AS category, CAST(p_size AS DOUBLE) AS psize, p_retailprice AS pretailprice,
+         p_name AS note
+  FROM part)"""
+
+LAB = """lab AS (
+  SELECT itemid, list_filter(regexp_split_to_array(labels, '[|:]'),
+                             lambda x: length(x) > 0 AND x <> '(no genres listed)') AS ls
+  FROM i)"""
+
+CATS = """cats AS (
+  SELECT category, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS index
+  FROM (SELECT DISTINCT category FROM i))"""
+
+
+def sql_items() -> dict[str, str]:
+    q = {}
+    q["item_features"] = with_(
+        [I], """SELECT itemid, concat_ws(',', CAST(psize AS VARCHAR), CAST(pretailprice AS VARCHAR)) AS features
+                FROM i""")
+    q["item_features_weighted"] = with_(
+        [I], """SELECT itemid, concat_ws(',', CAST(psize * 2.0::DOUBLE AS VARCHAR),
+                                         CAST(pretailprice * 0.1::DOUBLE AS VARCHAR)) AS features
+                FROM i""")
+    q["item_onehot"] = with_(
+        [I, LAB, "vocab AS (SELECT list_sort(list_distinct(flatten(list(ls)))) AS v FROM lab)"],
+        """SELECT itemid, array_to_string(list_transform(v, lambda x: CASE WHEN list_contains(ls, x) THEN '1' ELSE '0' END), ',') AS onehot
+           FROM lab, vocab""")
+    q["label_vocabulary"] = with_([I, LAB], "SELECT DISTINCT unnest(ls) AS label FROM lab")
+    q["category_index"] = with_([I, CATS], "SELECT category, index FROM cats")
+    q["item_multihot"] = with_(
+        [I, "vocab AS (SELECT list_sort(list_distinct(list(category))) AS v FROM i)",
+         "per AS (SELECT itemid, list(DISTINCT category) AS cs FROM i GROUP BY itemid)"],
+        """SELECT itemid, array_to_string(list_transform(v, lambda x: CASE WHEN list_contains(cs, x) THEN '1' ELSE '0' END), ',') AS multihot
+           FROM per, vocab""")
+    q["item_categories"] = with_(
+        [I], "SELECT itemid, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories FROM i GROUP BY itemid")
+    q["feature_names"] = with_(
+        [I, CATS], """SELECT category, regexp_replace(lower(category), '[^a-z]', '', 'g') AS safe_name,
+                             'f' || CAST(index AS VARCHAR) AS feature_name FROM cats""")
+    q["brand_ids"] = """SELECT CAST(p_partkey AS INTEGER) AS itemid,
+                               CAST(string_split(replace(p_brand, '"', ''), '#')[-1] AS INTEGER) AS brand_id
+                        FROM part"""
+    q["state_to_rating"] = """
+      SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS userid, state,
+             CASE state WHEN 'Sales Order' THEN 4.0::DOUBLE WHEN 'Done' THEN 5.0::DOUBLE END AS rating
+      FROM (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'Sales Order' WHEN 'F' THEN 'Done'
+                                         ELSE o_orderstatus END AS state FROM orders)"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(sql_interactions())
+    q.update(sql_ratings())
+    q.update(sql_items())
     return q

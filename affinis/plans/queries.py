@@ -12,7 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.functions import columns as cols
+from affinis.functions import features as feats
+from affinis.functions.schema import ItemSchema
+from affinis.operators import candidates as cand
 from affinis.operators import ingest
+from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
 from affinis.params import Params
 from affinis.sources import tables
@@ -123,5 +128,189 @@ def q_recs_item_item_replay(spark, sf_dir):
         "user_id", "item_id", r6("score"), "rank")
 
 
+# ----------------------------------------------------------------- ratings (R)
+
+RECENCY_SECONDS = 30 * 86400   # "active users": rated within 30 days of as_of
+LAST_N_ROWS = 1000             # FLT3: users of the last 1000 rating rows
+
+
+def _ratings(spark, sf_dir) -> DataFrame:
+    return tables.ratings(spark, sf_dir)
+
+
+def as_of(ratings: DataFrame):
+    """The reference time of a run: the newest rating (a scalar subquery)."""
+    return ratings.select(F.max("ts")).scalar()
+
+
+def _active(ratings: DataFrame) -> DataFrame:
+    return cand.active_users(ratings, as_of(ratings), RECENCY_SECONDS)
+
+
+@register("ratings_latest")
+def q_ratings_latest(spark, sf_dir):
+    return _ratings(spark, sf_dir).select("userid", "itemid", "rating", "ts")
+
+
+@register("ratings_keyed")
+def q_ratings_keyed(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    return r.select("userid", "itemid", cols.composite_key("userid", "itemid").alias("rkey"),
+                    cols.half_stars_to_ten("rating").alias("rating10"))
+
+
+@register("ratings_after")
+def q_ratings_after(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    return cand.ratings_after(r, as_of(r) - 7 * 86400).select("userid", "itemid", "rating", "ts")
+
+
+@register("active_users")
+def q_active_users(spark, sf_dir):
+    return _active(_ratings(spark, sf_dir))
+
+
+@register("last_n_users")
+def q_last_n_users(spark, sf_dir):
+    return cand.last_n_users(_ratings(spark, sf_dir), LAST_N_ROWS)
+
+
+@register("all_users")
+def q_all_users(spark, sf_dir):
+    return cand.all_users(_ratings(spark, sf_dir))
+
+
+@register("rated_items")
+def q_rated_items(spark, sf_dir):
+    return cand.rated_items(_ratings(spark, sf_dir))
+
+
+@register("catalogue_items")
+def q_catalogue_items(spark, sf_dir):
+    return cand.catalogue_items(tables.items(spark, sf_dir))
+
+
+@register("unrated_pairs")
+def q_unrated_pairs(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    return cand.unrated_pairs(_active(r), cand.rated_items(r), r)
+
+
+@register("unrated_pairs_catalogue")
+def q_unrated_pairs_catalogue(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    return cand.unrated_pairs(_active(r), cand.catalogue_items(tables.items(spark, sf_dir)), r)
+
+
+@register("item_stats")
+def q_item_stats(spark, sf_dir):
+    return pop.item_stats(_ratings(spark, sf_dir)).select("itemid", r6("mean_rating"), "n_ratings")
+
+
+@register("popular_items")
+def q_popular_items(spark, sf_dir):
+    p = pop.popular_items(_ratings(spark, sf_dir), "ratings")
+    return p.select("itemid", r6("mean_rating"), "n_ratings", r6("score"))
+
+
+@register("popular_items_by_items")
+def q_popular_items_by_items(spark, sf_dir):
+    p = pop.popular_items(_ratings(spark, sf_dir), "items")
+    return p.select("itemid", r6("mean_rating"), "n_ratings", r6("score"))
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return cand.ordered_split(_ratings(spark, sf_dir), Params().train_fraction).select(
+        "userid", "itemid", "rating", "ts", "split")
+
+
+@register("hash_split")
+def q_hash_split(spark, sf_dir):
+    return cand.hash_split(_ratings(spark, sf_dir), 80).select("userid", "itemid", "split")
+
+
+# ------------------------------------------------------------------- items (I)
+
+def _items(spark, sf_dir):
+    return tables.items(spark, sf_dir)
+
+
+def _schema():
+    return ItemSchema.parse(tables.ITEM_SCHEMA_JSON)
+
+
+# Feature ratios of the item schema.
+FEATURE_RATIOS = {"psize": 2.0, "pretailprice": 0.1}
+
+
+@register("item_features")
+def q_item_features(spark, sf_dir):
+    v = feats.feature_vector(_items(spark, sf_dir), _schema())
+    return v.select("itemid", feats.vector_to_string("features").alias("features"))
+
+
+@register("item_features_weighted")
+def q_item_features_weighted(spark, sf_dir):
+    v = feats.weighted_feature_vector(_items(spark, sf_dir), _schema(), FEATURE_RATIOS)
+    return v.select("itemid", feats.vector_to_string("features").alias("features"))
+
+
+@register("item_onehot")
+def q_item_onehot(spark, sf_dir):
+    v = feats.one_hot_labels(_items(spark, sf_dir))
+    return v.select("itemid", feats.vector_to_string("onehot").alias("onehot"))
+
+
+@register("label_vocabulary")
+def q_label_vocabulary(spark, sf_dir):
+    return feats.label_vocabulary(_items(spark, sf_dir))
+
+
+@register("category_index")
+def q_category_index(spark, sf_dir):
+    return feats.category_index(_items(spark, sf_dir))
+
+
+@register("item_multihot")
+def q_item_multihot(spark, sf_dir):
+    v = feats.multi_hot(_items(spark, sf_dir).select("itemid", "category"))
+    return v.select("itemid", feats.vector_to_string("multihot").alias("multihot"))
+
+
+@register("item_categories")
+def q_item_categories(spark, sf_dir):
+    v = feats.categories_per_item(_items(spark, sf_dir).select("itemid", "category"))
+    return v.select("itemid", F.concat_ws(",", "categories").alias("categories"))
+
+
+@register("feature_names")
+def q_feature_names(spark, sf_dir):
+    ci = feats.category_index(_items(spark, sf_dir))
+    return ci.select("category", cols.safe_feature_name("category").alias("safe_name"),
+                     cols.category_feature_name("index").alias("feature_name"))
+
+
+@register("brand_ids")
+def q_brand_ids(spark, sf_dir):
+    p = tables.read_table(spark, sf_dir, "part", "p_partkey", "p_brand")
+    return p.select(F.col("p_partkey").cast("int").alias("itemid"),
+                    cols.id_after_last("p_brand", "#").alias("brand_id"))
+
+
+# How the order status letters of ``orders`` read as ERP states.
+ORDER_STATES = {"O": "Sales Order", "F": "Done"}
+
+
+@register("state_to_rating")
+def q_state_to_rating(spark, sf_dir):
+    o = tables.read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    st = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ORDER_STATES.items() for x in kv]),
+                                 F.col("o_orderstatus")), F.col("o_orderstatus"))
+    o = o.withColumn("state", st)
+    return o.select("o_orderkey", F.col("o_custkey").cast("int").alias("userid"), "state",
+                    cols.state_to_rating("state").alias("rating"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
