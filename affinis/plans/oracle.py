@@ -264,9 +264,158 @@ def sql_items() -> dict[str, str]:
     return q
 
 
+# ------------------------------------------------------------- hybrid & eval
+CANDS = """cands AS (
+  SELECT a.userid, i.itemid FROM active a CROSS JOIN (SELECT DISTINCT itemid FROM r) i
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.userid = a.userid AND r.itemid = i.itemid))"""
+
+HYB = """cf AS (SELECT c.userid, c.itemid, m.m AS prediction FROM cands c
+               JOIN (SELECT itemid, avg(rating) AS m FROM r GROUP BY itemid) m USING (itemid)),
+cb AS (SELECT c.userid, c.itemid, um.m + i.psize / 50.0::DOUBLE AS prediction FROM cands c
+       JOIN (SELECT userid, avg(rating) AS m FROM r GROUP BY userid) um USING (userid)
+       JOIN i USING (itemid)),
+hyb AS (SELECT userid, itemid, cf.prediction * 0.1::DOUBLE + cb.prediction * (1.0::DOUBLE - 0.1::DOUBLE) AS prediction
+        FROM cf JOIN cb USING (userid, itemid)),
+htop AS (SELECT * FROM (
+  SELECT userid, itemid, prediction,
+         CAST(row_number() OVER (PARTITION BY userid ORDER BY round(prediction, 9) DESC, itemid) AS INTEGER) AS rank
+  FROM hyb) WHERE rank <= 1000)"""
+
+HYB_CHAIN = R_CHAIN + [I, CANDS, HYB]
+
+ONLINE = """online AS (
+  SELECT CAST(user_id AS INTEGER) AS userid,
+         string_agg(CAST(CAST(item_id AS INTEGER) AS VARCHAR), ':' ORDER BY rank) AS ids
+  FROM recx GROUP BY user_id)"""
+
+POP10 = """pstats AS (SELECT itemid, avg(rating) AS mean_rating, count(*) AS n_ratings FROM r GROUP BY itemid),
+pmx AS (SELECT max(n_ratings) AS max_n, max(mean_rating) AS max_mean FROM pstats),
+pscore AS (SELECT itemid, sqrt(n_ratings) + pi() * sqrt(max_n) / sqrt(max_mean) * sqrt(mean_rating) AS score
+           FROM pstats, pmx),
+pop10 AS (SELECT itemid, row_number() OVER (ORDER BY score DESC, itemid) AS rank
+          FROM pscore ORDER BY score DESC, itemid LIMIT 10),
+new10 AS (SELECT itemid, row_number() OVER (ORDER BY first_ts DESC, itemid) AS rank
+          FROM (SELECT itemid, min(ts) AS first_ts FROM r GROUP BY itemid)
+          ORDER BY first_ts DESC, itemid LIMIT 10)"""
+
+SPLIT = """split AS (
+  SELECT userid, itemid, rating, ts,
+         CASE WHEN row_number() OVER (PARTITION BY userid ORDER BY ts, itemid)
+                   <= floor(count(*) OVER (PARTITION BY userid) * 0.7::DOUBLE)
+              THEN 'train' ELSE 'test' END AS split
+  FROM r),
+train AS (SELECT * FROM split WHERE split = 'train'),
+test AS (SELECT * FROM split WHERE split = 'test'),
+ecf AS (SELECT t.userid, t.itemid, m.m AS prediction FROM test t
+        JOIN (SELECT itemid, avg(rating) AS m FROM train GROUP BY itemid) m USING (itemid)),
+ecb AS (SELECT t.userid, t.itemid, um.m + i.psize / 50.0::DOUBLE AS prediction FROM test t
+        JOIN (SELECT userid, avg(rating) AS m FROM train GROUP BY userid) um USING (userid)
+        JOIN i USING (itemid)),
+ehyb AS (SELECT userid, itemid, ecf.prediction * 0.1::DOUBLE + ecb.prediction * (1.0::DOUBLE - 0.1::DOUBLE) AS prediction
+         FROM ecf JOIN ecb USING (userid, itemid)),
+tlab AS (SELECT userid, itemid, rating,
+           CASE WHEN rating >= lo + 0.6::DOUBLE * (hi - lo) THEN 1
+                WHEN rating < lo + 0.4::DOUBLE * (hi - lo) THEN 0 END AS label
+         FROM test, (SELECT min(rating) AS lo, max(rating) AS hi FROM test)),
+tlab1 AS (SELECT * FROM tlab WHERE label IS NOT NULL)"""
+
+EVAL_CHAIN = R_CHAIN + [I, SPLIT]
+
+
+def rprec(pred: str, name: str) -> str:
+    return f"""m_{name} AS (SELECT t.userid, t.itemid, t.rating, p.prediction FROM test t JOIN {pred} p USING (userid, itemid)),
+rk_{name} AS (SELECT *, CASE WHEN rating >= 4 THEN 1 ELSE 0 END AS pos,
+                   row_number() OVER (PARTITION BY userid ORDER BY round(prediction, 9) DESC, itemid) AS rk
+            FROM m_{name}),
+rp_{name} AS (SELECT userid, CAST(sum(pos) AS BIGINT) AS n_pos,
+                   CASE WHEN sum(pos) > 0
+                        THEN CAST(sum(CASE WHEN rk <= np THEN pos ELSE 0 END) AS DOUBLE) / sum(pos) END AS r_precision
+            FROM (SELECT *, sum(pos) OVER (PARTITION BY userid) AS np FROM rk_{name}) GROUP BY userid),
+mrp_{name} AS (SELECT avg(CASE WHEN r_precision > 0 AND NOT isnan(r_precision) THEN r_precision END) AS mean_r_precision
+             FROM rp_{name})"""
+
+
+def sql_hybrid_eval() -> dict[str, str]:
+    q = {}
+    q["hybrid_topk"] = with_(HYB_CHAIN, "SELECT userid, itemid, prediction, rank FROM htop")
+    q["hybrid_lists"] = with_(
+        HYB_CHAIN, """SELECT userid, string_agg(CAST(itemid AS VARCHAR), ':' ORDER BY rank) AS recommended_ids
+                      FROM htop GROUP BY userid""")
+    q["serve_with_fallback"] = with_(
+        HYB_CHAIN + E_CHAIN + [SIMX, nb("simx"), recs(), ONLINE,
+                               """stored AS (SELECT userid, string_agg(CAST(itemid AS VARCHAR), ':' ORDER BY rank) AS ids
+                                             FROM (SELECT * FROM htop WHERE rank <= 10) GROUP BY userid)""",
+                               """users AS (SELECT DISTINCT userid FROM r
+                                            UNION SELECT CAST(user_id AS INTEGER) FROM events)"""],
+        """SELECT u.userid,
+                  coalesce(s.ids, array_to_string((string_split(o.ids, ':'))[1:10], ':'), '') AS recommended_ids,
+                  CASE WHEN s.ids IS NOT NULL THEN 'batch' WHEN o.ids IS NOT NULL THEN 'online' ELSE 'none' END AS source
+           FROM users u LEFT JOIN stored s USING (userid) LEFT JOIN online o USING (userid)""")
+    q["final_padded"] = with_(
+        HYB_CHAIN + [POP10, """users AS (SELECT DISTINCT userid FROM r)""",
+                     """pc AS (SELECT userid, itemid, 0 AS src, rank AS rr FROM htop
+                              UNION ALL SELECT u.userid, p.itemid, 1, p.rank FROM users u CROSS JOIN pop10 p
+                              UNION ALL SELECT u.userid, n.itemid, 2, n.rank FROM users u CROSS JOIN new10 n)""",
+                     """pc2 AS (SELECT * FROM pc WHERE NOT EXISTS
+                                 (SELECT 1 FROM r WHERE r.userid = pc.userid AND r.itemid = pc.itemid))""",
+                     """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY userid, itemid ORDER BY src, rr) AS k
+                                               FROM pc2) WHERE k = 1)""",
+                     """fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY userid ORDER BY src, rr, itemid) AS rank
+                                              FROM best) WHERE rank <= 10)"""],
+        """SELECT userid, string_agg(CAST(itemid AS VARCHAR), ':' ORDER BY rank) AS recommended_ids
+           FROM fin GROUP BY userid""")
+    q["eval_labels"] = with_(EVAL_CHAIN, "SELECT userid, itemid, rating, label FROM tlab1")
+    q["eval_accuracy"] = with_(
+        EVAL_CHAIN + ["""plab AS (SELECT userid, itemid,
+                            CASE WHEN prediction >= lo + 0.6::DOUBLE * (hi - lo) THEN 1
+                                 WHEN prediction < lo + 0.4::DOUBLE * (hi - lo) THEN 0 END AS label
+                          FROM ehyb, (SELECT min(prediction) AS lo, max(prediction) AS hi FROM ehyb))"""],
+        """SELECT round(avg(CASE WHEN t.label = p.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_pairs
+           FROM tlab1 t JOIN (SELECT * FROM plab WHERE label IS NOT NULL) p USING (userid, itemid)""")
+    weights = ", ".join(f"({w}::DOUBLE)" for w in _sweep())
+    q["eval_weight_sweep"] = with_(
+        EVAL_CHAIN + [f"""grid AS (SELECT * FROM (VALUES {weights}) g(weight))""",
+                      """sw AS (SELECT userid, itemid, weight,
+                                       ecf.prediction * weight + ecb.prediction * (1.0::DOUBLE - weight) AS prediction
+                                FROM ecf JOIN ecb USING (userid, itemid) CROSS JOIN grid)""",
+                      """swl AS (SELECT sw.*, CASE WHEN prediction >= lo + 0.6::DOUBLE * (hi - lo) THEN 1
+                                                   WHEN prediction < lo + 0.4::DOUBLE * (hi - lo) THEN 0 END AS label
+                                 FROM sw JOIN (SELECT weight, min(prediction) AS lo, max(prediction) AS hi
+                                               FROM sw GROUP BY weight) l USING (weight))""",
+                      """acc AS (SELECT weight, avg(CASE WHEN t.label = s.label THEN 1.0 ELSE 0.0 END) AS accuracy,
+                                        count(*) AS n_pairs
+                                 FROM (SELECT * FROM swl WHERE label IS NOT NULL) s JOIN tlab1 t USING (userid, itemid)
+                                 GROUP BY weight)"""],
+        """SELECT weight, round(accuracy, 6) AS accuracy, n_pairs,
+                  weight = (SELECT weight FROM acc ORDER BY accuracy DESC, weight LIMIT 1) AS best
+           FROM acc""")
+    q["eval_precision"] = with_(
+        EVAL_CHAIN, """SELECT round(avg(CASE WHEN t.rating > 3 AND h.prediction > 3 THEN 1.0 ELSE 0.0 END), 6) AS precision,
+                              count(*) AS n_pairs
+                       FROM test t JOIN ehyb h USING (userid, itemid)""")
+    q["r_precision"] = with_(
+        EVAL_CHAIN + [rprec("ehyb", "h")],
+        "SELECT userid, n_pos, round(r_precision, 6) AS r_precision FROM rp_h")
+    q["mean_r_precision"] = with_(
+        EVAL_CHAIN + [rprec("ehyb", "h")], "SELECT round(mean_r_precision, 6) AS mean_r_precision FROM mrp_h")
+    q["model_comparison"] = with_(
+        EVAL_CHAIN + [rprec("ecf", "cf"), rprec("ecb", "cb"), rprec("ehyb", "h")],
+        """SELECT 'cf' AS family, round(mean_r_precision, 6) AS mean_r_precision FROM mrp_cf
+           UNION ALL SELECT 'cb', round(mean_r_precision, 6) FROM mrp_cb
+           UNION ALL SELECT 'hybrid', round(mean_r_precision, 6) FROM mrp_h""")
+    return q
+
+
+def _sweep() -> list[float]:
+    from affinis.operators.evaluate import sweep_weights
+
+    return sweep_weights()
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(sql_interactions())
     q.update(sql_ratings())
     q.update(sql_items())
+    q.update(sql_hybrid_eval())
     return q

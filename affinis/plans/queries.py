@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from affinis.functions import columns as cols
 from affinis.functions import features as feats
 from affinis.functions.schema import ItemSchema
+from affinis.operators import baselines as base
 from affinis.operators import candidates as cand
+from affinis.operators import evaluate as ev
+from affinis.operators import hybrid as hyb
 from affinis.operators import ingest
 from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
@@ -312,5 +315,136 @@ def q_state_to_rating(spark, sf_dir):
                     cols.state_to_rating("state").alias("rating"))
 
 
+# ------------------------------------------------- hybrid, serving, evaluation
+
+HYBRID_WEIGHT = Params().hb_collaborative_weight
+SERVE_N = 10
+
+
+def _candidates(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    return r, cand.unrated_pairs(_active(r), cand.rated_items(r), r)
+
+
+def _stand_in_predictions(spark, sf_dir):
+    """cf / cb stand-ins on the candidate pairs of the active users."""
+    r, pairs = _candidates(spark, sf_dir)
+    cf = base.item_mean(r, pairs)
+    cb = base.user_mean_content(r, _items(spark, sf_dir), pairs)
+    return r, cf, cb
+
+
+def _hybrid_ranked(spark, sf_dir):
+    r, cf, cb = _stand_in_predictions(spark, sf_dir)
+    return r, hyb.hybrid_topk(cf, cb, HYBRID_WEIGHT, Params().hybrid_top_k)
+
+
+@register("hybrid_topk")
+def q_hybrid_topk(spark, sf_dir):
+    _, h = _hybrid_ranked(spark, sf_dir)
+    # predictions are exact sums of halves and fiftieths: identical doubles in
+    # any engine, and rounding them would hit half-way cases; kept raw
+    return h.select("userid", "itemid", "prediction", F.col("rank").cast("int").alias("rank"))
+
+
+@register("hybrid_lists")
+def q_hybrid_lists(spark, sf_dir):
+    _, h = _hybrid_ranked(spark, sf_dir)
+    return hyb.id_list_text(hyb.id_lists(h))
+
+
+def _online_lists(spark, sf_dir):
+    out = _learner(spark, sf_dir, "exact")
+    rec = sim.recommend(out["state"], out["neighbours"]).select(
+        F.col("user_id").cast("int").alias("userid"), F.col("item_id").cast("int").alias("itemid"), "rank")
+    return hyb.id_lists(rec)
+
+
+@register("serve_with_fallback")
+def q_serve_with_fallback(spark, sf_dir):
+    r, h = _hybrid_ranked(spark, sf_dir)
+    stored = hyb.id_lists(h)
+    online = _online_lists(spark, sf_dir)
+    ev_users = tables.interactions_raw(spark, sf_dir).select(F.col("user_id").cast("int").alias("userid"))
+    users = cand.all_users(r).unionByName(ev_users)
+    s = hyb.serve(users, stored, online, SERVE_N)
+    return s.select("userid", cols.join_id_list("recommended_ids").alias("recommended_ids"), "source")
+
+
+def _popular_top(r, n):
+    p = pop.popular_items(r, "ratings")
+    return hyb.top_n(p, n, [F.col("score").desc(), F.col("itemid")]).select("itemid", "rank")
+
+
+def _newest_top(r, n):
+    first = r.groupBy("itemid").agg(F.min("ts").alias("first_ts"))
+    return hyb.top_n(first, n, [F.col("first_ts").desc(), F.col("itemid")]).select("itemid", "rank")
+
+
+@register("final_padded")
+def q_final_padded(spark, sf_dir):
+    r, h = _hybrid_ranked(spark, sf_dir)
+    lists = hyb.pad_lists(cand.all_users(r), h, _popular_top(r, SERVE_N), _newest_top(r, SERVE_N),
+                          r, SERVE_N)
+    return hyb.id_list_text(lists)
+
+
+def _eval_inputs(spark, sf_dir):
+    """Ordered 70/30 split; stand-in predictions of the test pairs from the
+    train part."""
+    s = cand.ordered_split(_ratings(spark, sf_dir), Params().train_fraction)
+    train = s.filter(F.col("split") == "train")
+    test = s.filter(F.col("split") == "test")
+    cf = base.item_mean(train, test)
+    cb = base.user_mean_content(train, _items(spark, sf_dir), test)
+    return test, cf, cb
+
+
+@register("eval_labels")
+def q_eval_labels(spark, sf_dir):
+    test, _, _ = _eval_inputs(spark, sf_dir)
+    return ev.label(test, "rating").select("userid", "itemid", "rating", "label")
+
+
+@register("eval_accuracy")
+def q_eval_accuracy(spark, sf_dir):
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    a = ev.accuracy(test, hyb.blend(cf, cb, HYBRID_WEIGHT))
+    return a.select(r6("accuracy"), "n_pairs")
+
+
+@register("eval_weight_sweep")
+def q_eval_weight_sweep(spark, sf_dir):
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    return ev.weight_sweep(test, cf, cb).select("weight", r6("accuracy"), "n_pairs", "best")
+
+
+@register("eval_precision")
+def q_eval_precision(spark, sf_dir):
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    return ev.precision_above(test, hyb.blend(cf, cb, HYBRID_WEIGHT)).select(r6("precision"), "n_pairs")
+
+
+@register("r_precision")
+def q_r_precision(spark, sf_dir):
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    return ev.r_precision(test, hyb.blend(cf, cb, HYBRID_WEIGHT)).select(
+        "userid", "n_pos", r6("r_precision"))
+
+
+@register("mean_r_precision")
+def q_mean_r_precision(spark, sf_dir):
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    rp = ev.r_precision(test, hyb.blend(cf, cb, HYBRID_WEIGHT))
+    return ev.mean_r_precision(rp).select(r6("mean_r_precision"))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    fam = {"cf": cf, "cb": cb, "hybrid": hyb.blend(cf, cb, HYBRID_WEIGHT)}
+    return ev.compare_families(test, fam).select("family", r6("mean_r_precision"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
