@@ -418,4 +418,8 @@ def oracle_sql() -> dict[str, str]:
     q.update(sql_ratings())
     q.update(sql_items())
     q.update(sql_hybrid_eval())
+    # the streaming learner's summed deltas equal the batch statistics
+    q["stream_item_counts"] = q["item_counts"]
+    q["stream_pair_counts"] = with_(E_CHAIN, "SELECT item_a, item_b, pair_count FROM pc")
+    q["stream_similarity"] = q["similarity_exact"]
     return q

@@ -20,10 +20,13 @@ from affinis.operators import candidates as cand
 from affinis.operators import evaluate as ev
 from affinis.operators import hybrid as hyb
 from affinis.operators import ingest
+from affinis.operators import linear
+from affinis.operators import models
 from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
 from affinis.params import Params
 from affinis.sources import tables
+from affinis.streaming import learner as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -446,5 +449,108 @@ def q_model_comparison(spark, sf_dir):
     return ev.compare_families(test, fam).select("family", r6("mean_r_precision"))
 
 
+# ------------------------------------------------------------------- models
+
+def _features(spark, sf_dir):
+    return feats.feature_vector(_items(spark, sf_dir), _schema())
+
+
+def _n_features() -> int:
+    return len(_schema().numeric_features())
+
+
+@register("als_recs")
+def q_als_recs(spark, sf_dir):
+    r, pairs = _candidates(spark, sf_dir)
+    model = models.fit_als(r)
+    return hyb.rank_predictions(models.cf_predictions(model, pairs), Params().hybrid_top_k)
+
+
+@register("als_topk")
+def q_als_topk(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    model = models.fit_als(r)
+    return hyb.rank_predictions(models.cf_topk(model, _active(r), r, SERVE_N), SERVE_N)
+
+
+@register("user_models")
+def q_user_models(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    lab = models.labelled_examples(r, _features(spark, sf_dir))
+    p = Params()
+    return linear.fit_user_models(lab, _n_features(), p.cb_reg_param, p.cb_elastic_net, p.cb_max_iter)
+
+
+@register("content_recs")
+def q_content_recs(spark, sf_dir):
+    r, pairs = _candidates(spark, sf_dir)
+    cb = models.content_predictions("elastic_net", r, _features(spark, sf_dir), pairs, _n_features())
+    return hyb.rank_predictions(cb, Params().hybrid_top_k)
+
+
+@register("glm_recs")
+def q_glm_recs(spark, sf_dir):
+    r, pairs = _candidates(spark, sf_dir)
+    cb = models.content_predictions("glm", r, _features(spark, sf_dir), pairs, _n_features())
+    return hyb.rank_predictions(cb, Params().hybrid_top_k)
+
+
+@register("forest_scores")
+def q_forest_scores(spark, sf_dir):
+    r, pairs = _candidates(spark, sf_dir)
+    return models.content_predictions("random_forest", r, _features(spark, sf_dir), pairs, _n_features())
+
+
+@register("tree_scores")
+def q_tree_scores(spark, sf_dir):
+    r, pairs = _candidates(spark, sf_dir)
+    return models.content_predictions("decision_tree", r, _features(spark, sf_dir), pairs, _n_features())
+
+
+@register("hybrid_models")
+def q_hybrid_models(spark, sf_dir):
+    """ML11 with the trained models: ALS ⊕ per-user elastic net, top 1000."""
+    r, pairs = _candidates(spark, sf_dir)
+    cf = models.cf_predictions(models.fit_als(r), pairs)
+    cb = models.content_predictions("elastic_net", r, _features(spark, sf_dir), pairs, _n_features())
+    return hyb.hybrid_topk(cf, cb, HYBRID_WEIGHT, Params().hybrid_top_k)
+
+
+@register("item_clusters")
+def q_item_clusters(spark, sf_dir):
+    assign, _ = models.cluster_items(_features(spark, sf_dir), Params().clusters_k, Params().clusters_seed)
+    return models.cluster_sizes(assign)
+
+
+@register("item_features_indexed")
+def q_item_features_indexed(spark, sf_dir):
+    v = models.index_features(_features(spark, sf_dir))
+    return v.select("itemid", feats.vector_to_string("indexed").alias("indexed"))
+
+
+# ---------------------------------------------------------------- streaming
+
+def _stream_counts(spark, sf_dir):
+    out, _ = stream.stream_deltas(spark, sf_dir, tables.actions_table(spark), "events.parquet")
+    return stream.counts_from_deltas(spark.read.parquet(out))
+
+
+@register("stream_item_counts")
+def q_stream_item_counts(spark, sf_dir):
+    return _stream_counts(spark, sf_dir)[0]
+
+
+@register("stream_pair_counts")
+def q_stream_pair_counts(spark, sf_dir):
+    return _stream_counts(spark, sf_dir)[1]
+
+
+@register("stream_similarity")
+def q_stream_similarity(spark, sf_dir):
+    counts, pairs = _stream_counts(spark, sf_dir)
+    s = sim.similarity_exact(pairs, counts)
+    return s.select("item_a", "item_b", "pair_count", r6("similarity"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
