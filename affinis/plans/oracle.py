@@ -418,6 +418,15 @@ def oracle_sql() -> dict[str, str]:
     q.update(sql_ratings())
     q.update(sql_items())
     q.update(sql_hybrid_eval())
+    q["libsvm_roundtrip"] = q["item_features"]
+    q["ratings_csv_roundtrip"] = with_(
+        R_CHAIN, "SELECT userid, itemid, rating, CAST(ts AS VARCHAR) AS timestamp FROM r")
+    q["item_json_ingest"] = with_([I], "SELECT itemid, psize, pretailprice, note FROM i")
+    q["actions_registered"] = with_(
+        [ACTIONS], """SELECT name, weight FROM actions
+                      UNION ALL
+                      SELECT DISTINCT event_type, 1.0::DOUBLE FROM events
+                      WHERE event_type NOT IN (SELECT name FROM actions)""")
     # the streaming learner's summed deltas equal the batch statistics
     q["stream_item_counts"] = q["item_counts"]
     q["stream_pair_counts"] = with_(E_CHAIN, "SELECT item_a, item_b, pair_count FROM pc")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions import columns as cols
 from affinis.functions import features as feats
-from affinis.functions.schema import ItemSchema
+from affinis.functions.schema import ItemSchema, decode_items
 from affinis.operators import baselines as base
 from affinis.operators import candidates as cand
 from affinis.operators import evaluate as ev
@@ -25,7 +25,8 @@ from affinis.operators import models
 from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
 from affinis.params import Params
-from affinis.sources import tables
+from affinis.session import shared_scratch
+from affinis.sources import files, sinks, tables
 from affinis.streaming import learner as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,6 +529,49 @@ def q_item_features_indexed(spark, sf_dir):
     return v.select("itemid", feats.vector_to_string("indexed").alias("indexed"))
 
 
+# ------------------------------------------------------------ sources / sinks
+
+@register("libsvm_roundtrip")
+def q_libsvm_roundtrip(spark, sf_dir):
+    """SNK10 → SRC6: the catalogue as LIBSVM with label = item id, read back."""
+    path = shared_scratch(spark, "libsvm")
+    sinks.write_libsvm(_features(spark, sf_dir), path, label="itemid")
+    back = files.read_libsvm(spark, path, _n_features())
+    return back.select(F.col("label").cast("int").alias("itemid"),
+                       feats.vector_to_string("features").alias("features"))
+
+
+@register("ratings_csv_roundtrip")
+def q_ratings_csv_roundtrip(spark, sf_dir):
+    """SRC2 over a CSV export of the current ratings."""
+    path = shared_scratch(spark, "ratings-csv")
+    sinks.write_ratings_csv(_ratings(spark, sf_dir), path)
+    return files.read_ratings_csv(spark, path, require_all=True)
+
+
+@register("item_json_ingest")
+def q_item_json_ingest(spark, sf_dir):
+    """FE7 + SNK12: item rows as JSON documents decoded by the declared
+    schema, last write per id."""
+    sch = _schema()
+    it = _items(spark, sf_dir)
+    docs = it.select(F.to_json(F.struct("itemid", "psize", "pretailprice", "note")).alias("value"),
+                     F.col("itemid").cast("long").alias("seq"))
+    dec = decode_items(docs, sch)
+    good = dec.filter(F.col("reason").isNull()).drop("reason", "value")
+    return sinks.upsert_latest(good, ["itemid"], ["seq"]).select("itemid", "psize", "pretailprice", "note")
+
+
+@register("actions_registered")
+def q_actions_registered(spark, sf_dir):
+    """SNK14: the event types seen in the log, registered when new (with
+    weight 1) next to the existing action table."""
+    existing = tables.actions_table(spark)
+    seen = (tables.read_table(spark, sf_dir, "events", "event_type")
+            .select(F.col("event_type").alias("name"), F.lit(1.0).alias("weight")))
+    return existing.unionByName(sinks.register_new(existing, seen, "name"))
+
+
 # ---------------------------------------------------------------- streaming
 
 def _stream_counts(spark, sf_dir):

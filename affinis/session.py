@@ -59,5 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, under the shared checkpoint
+    directory (never a machine-local temporary folder on a cluster)."""
+    import uuid
+
+    return os.path.join(ensure_checkpoint_dir(spark), "affinis-" + name, uuid.uuid4().hex)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
