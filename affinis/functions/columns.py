@@ -85,3 +85,9 @@ def non_empty(*cols: str) -> Column:
     for c in cols:
         cond = cond & F.col(c).isNotNull() & (F.length(F.trim(F.col(c).cast("string"))) > 0)
     return cond
+
+
+def dot(a: str, b: str) -> Column:
+    """Dot product of two equally long numeric arrays (as double)."""
+    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0), lambda acc, v: acc + v)

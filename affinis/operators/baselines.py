@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The content offset is feature / CONTENT_SCALE.
+CONTENT_SCALE = 50.0
+
 
 def item_mean(train: DataFrame, pairs: DataFrame) -> DataFrame:
     m = train.groupBy("itemid").agg(F.avg("rating").alias("prediction"))
@@ -21,7 +24,7 @@ def item_mean(train: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def user_mean_content(train: DataFrame, items: DataFrame, pairs: DataFrame,
-                      feature: str = "psize", scale: float = 50.0) -> DataFrame:
+                      feature: str = "psize", scale: float = CONTENT_SCALE) -> DataFrame:
     um = train.groupBy("userid").agg(F.avg("rating").alias("_um"))
     it = items.select("itemid", F.col(feature).cast("double").alias("_f"))
     j = pairs.select("userid", "itemid").join(um, "userid").join(it, "itemid")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from affinis.operators.joins import row_bound_holds
 from affinis.operators.prefix import running_agg
+from affinis.session import fanout_partitions
 
 
 def latest_ratings(log: DataFrame) -> DataFrame:
@@ -67,26 +68,52 @@ def catalogue_items(items: DataFrame) -> DataFrame:
     return items.select("itemid").distinct()
 
 
-def unrated_pairs(users: DataFrame, items: DataFrame, owned: DataFrame,
-                  max_broadcast_items: int = 2_000_000, item_blocks: int = 64) -> DataFrame:
-    """JOI4/JOI5: every (user, item) with the item not rated by the user.
+def user_profiles(ratings: DataFrame, as_of=None, seconds: int | None = None) -> DataFrame:
+    """One row per user (active users when ``as_of`` is given): the owned
+    items, mean rating, number of ratings and last rating time.
+
+    One aggregation (map-side combined) serves candidate generation, the
+    owned-item exclusion and every per-user model input, and leaves the
+    rows hash-partitioned by user for everything downstream.  ``owned`` holds
+    distinct item ids, so it is bounded by the catalogue, not by the log.
+    """
+    g = ratings.groupBy("userid").agg(
+        F.collect_set("itemid").alias("owned"), F.avg("rating").alias("user_mean"),
+        F.count(F.lit(1)).alias("n_ratings"), F.max("ts").alias("last_ts"))
+    if as_of is not None:
+        g = g.filter(F.col("last_ts") > F.lit(as_of) - F.lit(seconds))
+    return g
+
+
+def candidate_pairs(profiles: DataFrame, items: DataFrame, max_broadcast_items: int = 2_000_000,
+                    item_blocks: int = 64) -> DataFrame:
+    """JOI4/JOI5/JOI6: every (user, item) with the item not owned by the user,
+    carrying the user's and the item's attribute columns.
 
     The result is by definition |users| × |items| − own, so it is produced
-    as such: the item side is broadcast when it provably fits (no shuffle of
-    the user side at all); otherwise users are fanned out over
-    ``item_blocks`` hash blocks of the items and joined block-wise, so the
-    product is spread over many tasks instead of one.  Callers bound
-    ``users`` (active users, FLT2).
+    as such, without a shuffle of the product: the item side is broadcast
+    when it provably fits, and the owned items are dropped inside the join
+    condition; the output keeps the user side's partitioning, so per-user
+    scoring and top-k run without another exchange.  Beyond the bound the
+    users are fanned out over ``item_blocks`` hash blocks of the items.
     """
-    u = users.select("userid")
-    it = items.select("itemid")
-    if row_bound_holds(it, max_broadcast_items):
-        pairs = u.join(F.broadcast(it), how="inner")
+    not_owned = ~F.array_contains(F.col("owned"), F.col("itemid"))
+    profiles = profiles.repartition(fanout_partitions(profiles.sparkSession), "userid")
+    if row_bound_holds(items.select("itemid"), max_broadcast_items):
+        pairs = profiles.join(F.broadcast(items), not_owned, "inner")
     else:
-        ub = u.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
-        ib = it.withColumn("_blk", F.pmod(F.xxhash64("itemid"), F.lit(item_blocks)).cast("int"))
-        pairs = ub.join(ib, "_blk").drop("_blk")
-    return pairs.join(owned.select("userid", "itemid"), ["userid", "itemid"], "left_anti")
+        ub = profiles.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
+        ib = items.withColumn("_blk", F.pmod(F.xxhash64("itemid"), F.lit(item_blocks)).cast("int"))
+        pairs = ub.join(ib, "_blk").filter(not_owned).drop("_blk")
+    return pairs.drop("owned")
+
+
+def unrated_pairs(ratings: DataFrame, items: DataFrame, as_of=None, seconds: int | None = None,
+                  max_broadcast_items: int = 2_000_000) -> DataFrame:
+    """JOI4: (userid, itemid) candidates of the (active) users."""
+    prof = user_profiles(ratings, as_of, seconds).select("userid", "owned")
+    return candidate_pairs(prof, items.select("itemid").distinct(), max_broadcast_items) \
+        .select("userid", "itemid")
 
 
 def ordered_split(ratings: DataFrame, train_fraction: float = 0.7,

@@ -20,8 +20,10 @@ from affinis.functions.columns import join_id_list, usable_prediction
 
 
 def rank_col(score: str = "prediction", key: str = "userid", item: str = "itemid") -> F.Column:
-    """Per-user rank: score DESC (equal to 1e-9 = tie), then item ASC."""
-    w = Window.partitionBy(key).orderBy(F.round(F.col(score), 9).desc(), F.col(item))
+    """Per-user rank: score DESC, then item ASC.  Predictions are per-row
+    expressions (bit-identical wherever computed), so they are ranked raw;
+    a rounding key would cost a decimal conversion per candidate."""
+    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(item))
     return F.row_number().over(w)
 
 
@@ -33,6 +35,13 @@ def rank_predictions(pred: DataFrame, k: int | None = None, score: str = "predic
     return r.filter(F.col("rank") <= k) if k is not None else r
 
 
+def blend_columns(cf: F.Column, cb: F.Column, weight: float) -> F.Column:
+    """PRJ3 on columns: ``w · cf + (1 − w) · cb`` (same operation order as
+    :func:`blend`)."""
+    w = F.lit(float(weight))
+    return cf * w + cb * (F.lit(1.0) - w)
+
+
 def blend(cf: DataFrame, cb: DataFrame, weight: float, how: str = "inner") -> DataFrame:
     """JOI3 + PRJ3: ``w · cf + (1 − w) · cb`` on (userid, itemid).
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from affinis.operators.joins import sized_broadcast
 from affinis.operators.prefix import asof_sum
 from affinis.params import Params
+from affinis.session import fanout_partitions
 
 
 def user_item_state(events: DataFrame) -> DataFrame:
@@ -71,7 +72,9 @@ def pair_rows(state: DataFrame, params: Params = Params()) -> DataFrame:
     right = st.select("user_id", F.col("item_id").alias("item_b"), F.col("w").alias("w_b"),
                       F.col("last_seq").alias("last_b"), F.col("_blk").alias("blk_b"),
                       fan.alias("blk_a"))
-    return (left.join(right, ["user_id", "blk_a", "blk_b"])
+    n = fanout_partitions(state.sparkSession)
+    keys = ["user_id", "blk_a", "blk_b"]
+    return (left.repartition(n, *keys).join(right.repartition(n, *keys), keys)
             .filter(F.col("item_a") < F.col("item_b"))
             .drop("blk_a", "blk_b"))
 

@@ -278,7 +278,7 @@ hyb AS (SELECT userid, itemid, cf.prediction * 0.1::DOUBLE + cb.prediction * (1.
         FROM cf JOIN cb USING (userid, itemid)),
 htop AS (SELECT * FROM (
   SELECT userid, itemid, prediction,
-         CAST(row_number() OVER (PARTITION BY userid ORDER BY round(prediction, 9) DESC, itemid) AS INTEGER) AS rank
+         CAST(row_number() OVER (PARTITION BY userid ORDER BY prediction DESC, itemid) AS INTEGER) AS rank
   FROM hyb) WHERE rank <= 1000)"""
 
 HYB_CHAIN = R_CHAIN + [I, CANDS, HYB]
@@ -325,7 +325,7 @@ EVAL_CHAIN = R_CHAIN + [I, SPLIT]
 def rprec(pred: str, name: str) -> str:
     return f"""m_{name} AS (SELECT t.userid, t.itemid, t.rating, p.prediction FROM test t JOIN {pred} p USING (userid, itemid)),
 rk_{name} AS (SELECT *, CASE WHEN rating >= 4 THEN 1 ELSE 0 END AS pos,
-                   row_number() OVER (PARTITION BY userid ORDER BY round(prediction, 9) DESC, itemid) AS rk
+                   row_number() OVER (PARTITION BY userid ORDER BY prediction DESC, itemid) AS rk
             FROM m_{name}),
 rp_{name} AS (SELECT userid, CAST(sum(pos) AS BIGINT) AS n_pos,
                    CASE WHEN sum(pos) > 0

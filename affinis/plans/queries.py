@@ -200,13 +200,14 @@ def q_catalogue_items(spark, sf_dir):
 @register("unrated_pairs")
 def q_unrated_pairs(spark, sf_dir):
     r = _ratings(spark, sf_dir)
-    return cand.unrated_pairs(_active(r), cand.rated_items(r), r)
+    return cand.unrated_pairs(r, cand.rated_items(r), as_of(r), RECENCY_SECONDS)
 
 
 @register("unrated_pairs_catalogue")
 def q_unrated_pairs_catalogue(spark, sf_dir):
     r = _ratings(spark, sf_dir)
-    return cand.unrated_pairs(_active(r), cand.catalogue_items(tables.items(spark, sf_dir)), r)
+    return cand.unrated_pairs(r, cand.catalogue_items(tables.items(spark, sf_dir)), as_of(r),
+                              RECENCY_SECONDS)
 
 
 @register("item_stats")
@@ -327,20 +328,27 @@ SERVE_N = 10
 
 def _candidates(spark, sf_dir):
     r = _ratings(spark, sf_dir)
-    return r, cand.unrated_pairs(_active(r), cand.rated_items(r), r)
+    return r, cand.unrated_pairs(r, cand.rated_items(r), as_of(r), RECENCY_SECONDS)
 
 
-def _stand_in_predictions(spark, sf_dir):
-    """cf / cb stand-ins on the candidate pairs of the active users."""
-    r, pairs = _candidates(spark, sf_dir)
-    cf = base.item_mean(r, pairs)
-    cb = base.user_mean_content(r, _items(spark, sf_dir), pairs)
-    return r, cf, cb
+def _active_profiles(r):
+    return cand.user_profiles(r, as_of(r), RECENCY_SECONDS)
 
 
 def _hybrid_ranked(spark, sf_dir):
-    r, cf, cb = _stand_in_predictions(spark, sf_dir)
-    return r, hyb.hybrid_topk(cf, cb, HYBRID_WEIGHT, Params().hybrid_top_k)
+    """ML11 on the stand-in predictors, scored on enriched candidate rows:
+    cf = the item's mean rating, cb = the user's mean + size / 50; both are
+    defined for every candidate, so the inner join of the two sides keeps
+    all of them."""
+    r = _ratings(spark, sf_dir)
+    prof = _active_profiles(r).select("userid", "owned", "user_mean")
+    item_side = (pop.item_stats(r).select("itemid", F.col("mean_rating").alias("item_mean"))
+                 .join(_items(spark, sf_dir).select("itemid", "psize"), "itemid"))
+    pairs = cand.candidate_pairs(prof, item_side)
+    cf = F.col("item_mean")
+    cb = F.col("user_mean") + F.col("psize") / F.lit(base.CONTENT_SCALE)
+    pred = pairs.select("userid", "itemid", hyb.blend_columns(cf, cb, HYBRID_WEIGHT).alias("prediction"))
+    return r, hyb.rank_predictions(pred, Params().hybrid_top_k)
 
 
 @register("hybrid_topk")
@@ -460,11 +468,38 @@ def _n_features() -> int:
     return len(_schema().numeric_features())
 
 
+def _model_candidates(spark, sf_dir, with_cf: bool, with_cb: bool, alpha: float | None = None):
+    """Candidate rows enriched with what the trained models need: user
+    factors and coefficients on the user side (one row per user), item
+    factors and features on the broadcast item side."""
+    r = _ratings(spark, sf_dir)
+    p = Params()
+    prof = _active_profiles(r).select("userid", "owned")
+    items = cand.rated_items(r).join(_features(spark, sf_dir), "itemid")
+    if with_cf:
+        uf, vf = models.als_factors(models.fit_als(r, p))
+        prof, items = prof.join(uf, "userid"), items.join(vf, "itemid")
+    if with_cb:
+        lab = models.labelled_examples(r, _features(spark, sf_dir))
+        a = p.cb_elastic_net if alpha is None else alpha
+        coefs = linear.fit_user_models(lab, _n_features(), p.cb_reg_param, a, p.cb_max_iter)
+        prof = prof.join(coefs.select("userid", "intercept", "coef"), "userid")
+    return cand.candidate_pairs(prof, items)
+
+
+def _cf_col():
+    return cols.dot("uf", "vf")
+
+
+def _cb_col():
+    return F.col("intercept") + cols.dot("coef", "features")
+
+
 @register("als_recs")
 def q_als_recs(spark, sf_dir):
-    r, pairs = _candidates(spark, sf_dir)
-    model = models.fit_als(r)
-    return hyb.rank_predictions(models.cf_predictions(model, pairs), Params().hybrid_top_k)
+    c = _model_candidates(spark, sf_dir, True, False)
+    pred = c.select("userid", "itemid", _cf_col().alias("prediction"))
+    return hyb.rank_predictions(pred, Params().hybrid_top_k)
 
 
 @register("als_topk")
@@ -484,16 +519,16 @@ def q_user_models(spark, sf_dir):
 
 @register("content_recs")
 def q_content_recs(spark, sf_dir):
-    r, pairs = _candidates(spark, sf_dir)
-    cb = models.content_predictions("elastic_net", r, _features(spark, sf_dir), pairs, _n_features())
-    return hyb.rank_predictions(cb, Params().hybrid_top_k)
+    c = _model_candidates(spark, sf_dir, False, True)
+    pred = c.select("userid", "itemid", _cb_col().alias("prediction"))
+    return hyb.rank_predictions(pred, Params().hybrid_top_k)
 
 
 @register("glm_recs")
 def q_glm_recs(spark, sf_dir):
-    r, pairs = _candidates(spark, sf_dir)
-    cb = models.content_predictions("glm", r, _features(spark, sf_dir), pairs, _n_features())
-    return hyb.rank_predictions(cb, Params().hybrid_top_k)
+    c = _model_candidates(spark, sf_dir, False, True, alpha=0.0)
+    pred = c.select("userid", "itemid", _cb_col().alias("prediction"))
+    return hyb.rank_predictions(pred, Params().hybrid_top_k)
 
 
 @register("forest_scores")
@@ -510,11 +545,12 @@ def q_tree_scores(spark, sf_dir):
 
 @register("hybrid_models")
 def q_hybrid_models(spark, sf_dir):
-    """ML11 with the trained models: ALS ⊕ per-user elastic net, top 1000."""
-    r, pairs = _candidates(spark, sf_dir)
-    cf = models.cf_predictions(models.fit_als(r), pairs)
-    cb = models.content_predictions("elastic_net", r, _features(spark, sf_dir), pairs, _n_features())
-    return hyb.hybrid_topk(cf, cb, HYBRID_WEIGHT, Params().hybrid_top_k)
+    """ML11 with the trained models: ALS ⊕ per-user elastic net, top 1000.
+    A candidate needs both a factor pair and a coefficient row (inner join)."""
+    c = _model_candidates(spark, sf_dir, True, True)
+    pred = c.select("userid", "itemid", hyb.blend_columns(_cf_col(), _cb_col(), HYBRID_WEIGHT)
+                    .alias("prediction"))
+    return hyb.rank_predictions(pred, Params().hybrid_top_k)
 
 
 @register("item_clusters")

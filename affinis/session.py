@@ -67,5 +67,13 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "affinis-" + name, uuid.uuid4().hex)
 
 
+def fanout_partitions(spark: SparkSession) -> int:
+    """Partitions for the input of a fan-out step (a join whose output is
+    far larger than its input).  AQE sizes partitions by *input* bytes and
+    would merge a small input into one task; an explicit ``repartition(n,
+    key)`` is kept as is, and n follows the cluster's shuffle setting."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

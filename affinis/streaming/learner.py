@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from affinis.operators import ingest
 from affinis.session import ensure_checkpoint_dir
 
+# pandas' notice about concatenating empty frames, raised inside pyspark's
+# state serializer for users whose batch emits nothing
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation")
+
 RAW_EVENT_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
                     "value double, props string")
 DELTA_SCHEMA = "kind string, item_a string, item_b string, delta double, seq long"
