@@ -418,6 +418,20 @@ def oracle_sql() -> dict[str, str]:
     q.update(sql_ratings())
     q.update(sql_items())
     q.update(sql_hybrid_eval())
+    q["item_lookup"] = with_(
+        [I], """SELECT e.itemid, i.category, i.psize, i.itemid IS NOT NULL AS found
+                FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER) AS itemid FROM events) e
+                LEFT JOIN i USING (itemid)""")
+    q["active_user_predictions"] = with_(
+        HYB_CHAIN, """SELECT userid, itemid, prediction, rank FROM htop
+                      WHERE userid IN (SELECT userid FROM (
+                        SELECT userid FROM r ORDER BY ts DESC, userid DESC, itemid DESC LIMIT 1000))""")
+    q["stored_lists_top"] = with_(
+        HYB_CHAIN, """SELECT userid, CAST(count(*) AS INTEGER) AS n_ids,
+                             string_agg(CAST(itemid AS VARCHAR), ':' ORDER BY rank) AS recommended_ids
+                      FROM htop WHERE rank <= 10 GROUP BY userid""")
+    q["recent_ratings"] = with_(
+        R_CHAIN, "SELECT userid, itemid, rating, ts FROM r WHERE ts > (SELECT as_of FROM ref_time) - 2592000")
     q["libsvm_roundtrip"] = q["item_features"]
     q["ratings_csv_roundtrip"] = with_(
         R_CHAIN, "SELECT userid, itemid, rating, CAST(ts AS VARCHAR) AS timestamp FROM r")

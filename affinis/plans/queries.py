@@ -20,6 +20,7 @@ from affinis.operators import candidates as cand
 from affinis.operators import evaluate as ev
 from affinis.operators import hybrid as hyb
 from affinis.operators import ingest
+from affinis.operators import joins
 from affinis.operators import linear
 from affinis.operators import models
 from affinis.operators import popular as pop
@@ -608,6 +609,58 @@ def q_actions_registered(spark, sf_dir):
     return existing.unionByName(sinks.register_new(existing, seen, "name"))
 
 
+# ------------------------------------------------------------ batch & lookups
+
+@register("batch_run")
+def q_batch_run(spark, sf_dir):
+    """ML18: the whole CF → CB → hybrid chain; returns the stored lists."""
+    from affinis.plans.batch import run_batch
+
+    log = tables.ratings_log(spark, sf_dir)
+    as_of_value = log.select(F.max("ts")).first()[0]
+    out = shared_scratch(spark, "batch")
+    paths = run_batch(spark, log, _items(spark, sf_dir), _schema(), as_of_value, out,
+                      Params().with_(hb_last_n_seconds=RECENCY_SECONDS))
+    return spark.read.parquet(paths["lists"])
+
+
+@register("item_lookup")
+def q_item_lookup(spark, sf_dir):
+    """JOI12: the items the event log refers to, looked up in the catalogue
+    (ids missing there come back with ``found = false``)."""
+    ids = (tables.interactions_raw(spark, sf_dir).select(F.col("item_id").cast("int").alias("itemid"))
+           .distinct())
+    it = _items(spark, sf_dir).select("itemid", "category", "psize")
+    return joins.lookup(ids, it, "itemid")
+
+
+@register("active_user_predictions")
+def q_active_user_predictions(spark, sf_dir):
+    """SRC5: stored hybrid predictions of a set of users (those of the last
+    1000 ratings), as a semi join."""
+    r, h = _hybrid_ranked(spark, sf_dir)
+    return hyb.predictions_for(h, cand.last_n_users(r, LAST_N_ROWS)).select(
+        "userid", "itemid", "prediction", F.col("rank").cast("int").alias("rank"))
+
+
+@register("stored_lists_top")
+def q_stored_lists_top(spark, sf_dir):
+    """PRJ12 + LIM3: stored ``1:2:3`` lists parsed back, first 10 ids."""
+    _, h = _hybrid_ranked(spark, sf_dir)
+    stored = hyb.id_list_text(hyb.id_lists(h))
+    parsed = stored.select("userid", cols.parse_id_list("recommended_ids").alias("recommended_ids"))
+    top = hyb.take(parsed, SERVE_N)
+    return top.select("userid", F.size("recommended_ids").alias("n_ids"),
+                      cols.join_id_list("recommended_ids").alias("recommended_ids"))
+
+
+@register("recent_ratings")
+def q_recent_ratings(spark, sf_dir):
+    """FLT1: ratings of the last 30 days before as_of (strict)."""
+    r = _ratings(spark, sf_dir)
+    return cand.recent(r, as_of(r), RECENCY_SECONDS).select("userid", "itemid", "rating", "ts")
+
+
 # ---------------------------------------------------------------- streaming
 
 def _stream_counts(spark, sf_dir):
