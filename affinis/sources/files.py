@@ -1,7 +1,7 @@
 """File readers (SRC2, SRC6, SRC7, SRC8) and ERP export cleaning.
 
-Schemas are declared, never inferred.  Malformed lines are dropped by the
-CSV reader itself (``DROPMALFORMED``) — no per-row Python casts.
+Schemas are declared, never inferred.  Malformed lines are recognised by the
+CSV parser itself (corrupt-record column) — no per-row Python casts.
 """
 
 from __future__ import annotations
@@ -17,11 +17,24 @@ MOVIES_CSV_SCHEMA = "itemid int, title string, genres string"
 
 
 def read_ratings_csv(spark: SparkSession, path: str | list[str], require_all: bool = False) -> DataFrame:
-    """SRC2: ``userId,itemId,rating,timestamp`` with header; lines that do
-    not fit the schema are dropped; ``require_all`` also drops rows lacking
-    a field (the uploader's variant)."""
-    df = (spark.read.schema(RATINGS_CSV_SCHEMA).option("header", True)
-          .option("mode", "DROPMALFORMED").csv(path))
+    """SRC2: ``userId,itemId,rating,timestamp`` with header.  A line whose
+    user, item or rating does not parse is dropped; an empty field is a null
+    (kept, unless ``require_all`` — the uploader's variant).
+
+    Fields are read as text and cast with ``try_cast``; the drop condition
+    references every typed field, so it holds whatever columns a query reads
+    (``DROPMALFORMED`` only checks the columns a query happens to parse).
+    """
+    raw = (spark.read.schema("userid string, itemid string, rating string, timestamp string")
+           .option("header", True).option("mode", "PERMISSIVE").csv(path))
+    typed = {"userid": "int", "itemid": "int", "rating": "double"}
+    bad = F.lit(False)
+    out = []
+    for c, t in typed.items():
+        v = F.col(c).try_cast(t)
+        bad = bad | (F.col(c).isNotNull() & (F.length(F.trim(F.col(c))) > 0) & v.isNull())
+        out.append(v.alias(c))
+    df = raw.filter(~bad).select(*out, F.col("timestamp"))
     if require_all:
         df = df.dropna(how="any")
     return df
