@@ -87,7 +87,18 @@ def non_empty(*cols: str) -> Column:
     return cond
 
 
-def dot(a: str, b: str) -> Column:
-    """Dot product of two equally long numeric arrays (as double)."""
+def dot(a: str, b: str, d: int | None = None) -> Column:
+    """Dot product of two equally long numeric arrays (as double).
+
+    With the length ``d`` known at plan time (ALS rank, number of declared
+    features) the product is unrolled into plain arithmetic, which stays in
+    whole-stage codegen; the lambda form is the fallback for unknown d.
+    """
+    if d is not None:
+        terms = [F.col(a)[j].cast("double") * F.col(b)[j].cast("double") for j in range(d)]
+        out = terms[0] if terms else F.lit(0.0)
+        for t in terms[1:]:
+            out = out + t
+        return out
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, v: acc + v)

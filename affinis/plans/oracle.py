@@ -432,6 +432,11 @@ def oracle_sql() -> dict[str, str]:
                       FROM htop WHERE rank <= 10 GROUP BY userid""")
     q["recent_ratings"] = with_(
         R_CHAIN, "SELECT userid, itemid, rating, ts FROM r WHERE ts > (SELECT as_of FROM ref_time) - 2592000")
+    q["item_dictionary"] = with_(
+        [I], """SELECT itemid, 'psize' AS feature, psize AS value FROM i
+                UNION ALL SELECT itemid, 'pretailprice', pretailprice FROM i""")
+    q["stream_active_users"] = with_(
+        [E_RAW], """SELECT DISTINCT user_id FROM e_raw WHERE ts > (SELECT max(ts) FROM e_raw) - 86400""")
     q["libsvm_roundtrip"] = q["item_features"]
     q["ratings_csv_roundtrip"] = with_(
         R_CHAIN, "SELECT userid, itemid, rating, CAST(ts AS VARCHAR) AS timestamp FROM r")

@@ -489,11 +489,11 @@ def _model_candidates(spark, sf_dir, with_cf: bool, with_cb: bool, alpha: float
 
 
 def _cf_col():
-    return cols.dot("uf", "vf")
+    return cols.dot("uf", "vf", Params().cf_rank)
 
 
 def _cb_col():
-    return F.col("intercept") + cols.dot("coef", "features")
+    return F.col("intercept") + cols.dot("coef", "features", _n_features())
 
 
 @register("als_recs")
@@ -661,6 +661,60 @@ def q_recent_ratings(spark, sf_dir):
     return cand.recent(r, as_of(r), RECENCY_SECONDS).select("userid", "itemid", "rating", "ts")
 
 
+@register("model_family_comparison")
+def q_model_family_comparison(spark, sf_dir):
+    """ML15 with trained families: every content model and ALS fitted on the
+    train part of the ordered split, compared by mean R-precision on the test
+    pairs (all users, one plan per family)."""
+    s = cand.ordered_split(_ratings(spark, sf_dir), Params().train_fraction)
+    train = s.filter(F.col("split") == "train").drop("split")
+    test = s.filter(F.col("split") == "test").drop("split")
+    feats_ = _features(spark, sf_dir)
+    fam = {name: models.content_predictions(name, train, feats_, test, _n_features())
+           for name in models.PIPELINES.values()}
+    fam["als"] = models.cf_predictions(models.fit_als(train), test)
+    return ev.compare_families(test, fam).select("family", r6("mean_r_precision"))
+
+
+@register("item_dictionary")
+def q_item_dictionary(spark, sf_dir):
+    """FE9: per item the feature name → value map, as (item, feature, value)."""
+    d = feats.item_dictionary(_items(spark, sf_dir), _schema())
+    return d.select("itemid", F.explode("feature_map").alias("feature", "value"))
+
+
+@register("user_models_roundtrip")
+def q_user_models_roundtrip(spark, sf_dir):
+    """SNK11 / ML10: the per-user model table saved, reloaded and used to
+    score the active users' candidates (top 10 each)."""
+    path = shared_scratch(spark, "user-models")
+    q_user_models(spark, sf_dir).write.mode("overwrite").parquet(path)
+    coefs = spark.read.parquet(path)
+    r = _ratings(spark, sf_dir)
+    prof = _active_profiles(r).select("userid", "owned").join(coefs.select("userid", "intercept", "coef"), "userid")
+    c = cand.candidate_pairs(prof, cand.rated_items(r).join(_features(spark, sf_dir), "itemid"))
+    return hyb.rank_predictions(c.select("userid", "itemid", _cb_col().alias("prediction")), SERVE_N)
+
+
+@register("feature_table_csv")
+def q_feature_table_csv(spark, sf_dir):
+    """FE4: the one-hot label table written as CSV with a header (item id +
+    one column per label), read back."""
+    path = shared_scratch(spark, "features-csv")
+    oh = feats.one_hot_labels(_items(spark, sf_dir))
+    vocab = [r.label for r in feats.label_vocabulary(_items(spark, sf_dir)).collect()]
+    wide = oh.select("itemid", *[F.col("onehot")[i].alias(v) for i, v in enumerate(vocab)])
+    wide.write.mode("overwrite").option("header", True).csv(path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+@register("stream_active_users")
+def q_stream_active_users(spark, sf_dir):
+    """STR4: users with an event in the last day before the newest event."""
+    ev_ = tables.interactions_raw(spark, sf_dir)
+    return stream.active_from_log(ev_, ev_.select(F.max("ts")).scalar(), 86400)
+
+
 # ---------------------------------------------------------------- streaming
 
 def _stream_counts(spark, sf_dir):

@@ -134,3 +134,24 @@ def test_upsert_and_register(spark):
     old = actions_table(spark, [("click", 2.0)])
     new = actions_table(spark, [("click", 9.0), ("buy", 5.0)])
     assert [r.name for r in sinks.register_new(old, new, "name").collect()] == ["buy"]
+
+
+def test_csv_sinks_and_model_roundtrip(spark):
+    d = tempfile.mkdtemp(prefix="affinis-sinks-")
+    pred = spark.createDataFrame([(1, 10, 4.5), (1, 11, 3.0), (2, 10, 2.0)], "userid int, itemid int, prediction double")
+    sinks.write_predictions_csv(pred, os.path.join(d, "pred"))
+    back = spark.read.option("header", True).csv(os.path.join(d, "pred", "userid=1"))
+    assert sorted((int(r.itemid), float(r.prediction)) for r in back.collect()) == [(10, 4.5), (11, 3.0)]
+    lists = spark.createDataFrame([(1, [3, 2, 1])], "userid int, recommended_ids array<int>")
+    sinks.write_id_lists_csv(lists, os.path.join(d, "lists"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "lists")).first().ids == "3:2:1"
+
+    from affinis.operators import models
+    ratings = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(1, 6) for i in range(1, 8)],
+                                    "userid int, itemid int, rating double")
+    m = models.fit_als(ratings)
+    sinks.save_als(m, os.path.join(d, "als"))
+    m2 = sinks.load_als(os.path.join(d, "als"))
+    a = sorted(tuple(r) for r in models.cf_predictions(m, ratings).collect())
+    b = sorted(tuple(r) for r in models.cf_predictions(m2, ratings).collect())
+    assert a == b and len(a) == 35
