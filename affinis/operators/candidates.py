@@ -12,6 +12,7 @@ WIN2  per-user ordered train/test split;  WIN3 repeatable hash split
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,8 @@ def candidate_pairs(profiles: DataFrame, items: DataFrame, max_broadcast_items:
     """
     not_owned = ~F.array_contains(F.col("owned"), F.col("itemid"))
     profiles = profiles.repartition(fanout_partitions(profiles.sparkSession), "userid")
-    if row_bound_holds(items.select("itemid"), max_broadcast_items):
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)   # checked once, then broadcast
+    if row_bound_holds(items, max_broadcast_items):
         pairs = profiles.join(F.broadcast(items), not_owned, "inner")
     else:
         ub = profiles.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))

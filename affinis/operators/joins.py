@@ -2,11 +2,15 @@
 
 ``sized_broadcast`` broadcasts a side only after proving it has at most
 ``max_rows`` rows (a ``limit(n + 1).count()`` job that stops early); beyond
-that the side is left to the shuffle join that AQE plans at run time.
+that the side is left to the shuffle join that AQE plans at run time.  The
+side is persisted first, so the check and the join read the same
+materialised rows instead of computing the side's upstream twice (a lost
+cached block is recomputed from lineage).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if it provably has ≤ ``max_rows`` rows, else ``df``."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return F.broadcast(df) if row_bound_holds(df, max_rows) else df
 
 

@@ -192,8 +192,10 @@ def run(events: DataFrame, mode: str = "exact", params: Params = Params()) -> di
     """SIM9: the whole batch learner over a resolved event log in seq order."""
     from affinis.operators.ingest import accepted_events
 
+    # the final state is a plain aggregate of the events; only replay needs
+    # the accepted-delta log (lazy: not computed in exact mode)
     acc = accepted_events(events, params.seq_bucket)
-    state = user_item_state(acc)
+    state = user_item_state(events)
     counts = item_counts(state)
     pairs = pair_counts(state, params)
     if mode == "replay":
