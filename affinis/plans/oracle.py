@@ -450,4 +450,5 @@ def oracle_sql() -> dict[str, str]:
     q["stream_item_counts"] = q["item_counts"]
     q["stream_pair_counts"] = with_(E_CHAIN, "SELECT item_a, item_b, pair_count FROM pc")
     q["stream_similarity"] = q["similarity_exact"]
+    q["stream_rejected"] = q["interactions_rejected"]
     return q

@@ -722,6 +722,13 @@ def _stream_counts(spark, sf_dir):
     return stream.counts_from_deltas(spark.read.parquet(out))
 
 
+@register("stream_rejected")
+def q_stream_rejected(spark, sf_dir):
+    """STR1: the quarantine sink of the streaming ingest (same rules as batch)."""
+    _, quarantine = stream.stream_deltas(spark, sf_dir, tables.actions_table(spark), "events.parquet")
+    return spark.read.parquet(quarantine).select("seq", "user_id", "item_id", "action", "reason")
+
+
 @register("stream_item_counts")
 def q_stream_item_counts(spark, sf_dir):
     return _stream_counts(spark, sf_dir)[0]
