@@ -110,6 +110,51 @@ def candidate_pairs(profiles: DataFrame, items: DataFrame, max_broadcast_items:
     return pairs.drop("owned")
 
 
+# Percentiles probed per user by the top-k pre-filter, and the sketch accuracy
+# (rank error ≤ n / accuracy).
+TOPK_PERCENTILES = [0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999]
+TOPK_ACCURACY = 1000
+
+
+def topk_candidates(profiles: DataFrame, items: DataFrame, score: F.Column, k: int,
+                    max_broadcast_items: int = 2_000_000, key: str = "userid",
+                    item: str = "itemid") -> DataFrame:
+    """Exact per-user top-k of ``score`` over the candidate pairs (LIM1/SRT1).
+
+    Sorting every candidate of every user is the expensive part of a top-k.
+    Pass 1 computes, per user, the number of scored candidates and a few
+    approximate percentiles of the score (a hash aggregate; the sketch's rank
+    error is at most n / accuracy).  For each user the threshold is the
+    highest probed percentile value v for which the error bound still
+    guarantees at least k candidates with score ≥ v; every top-k row scores
+    at least the k-th best ≥ v, so dropping rows below v changes nothing.
+    Pass 2 regenerates the candidates with the threshold on the user side,
+    drops rows below it inside the product and ranks the survivors exactly
+    (score DESC, item ASC).  Users without a safe threshold keep all rows.
+    """
+    from affinis.functions.columns import usable_prediction
+    from affinis.operators.hybrid import rank_predictions
+
+    # one row per user, read by both passes: materialise it once
+    profiles = profiles.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = candidate_pairs(profiles, items, max_broadcast_items).select(
+        key, score.alias("_s")).filter(usable_prediction("_s"))
+    st = scored.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.percentile_approx("_s", TOPK_PERCENTILES, TOPK_ACCURACY).alias("_q"))
+    thr = None
+    margin = 2.0 / TOPK_ACCURACY
+    for i, pc in enumerate(TOPK_PERCENTILES):
+        safe = F.lit(1.0 - pc - margin) * F.col("_n") >= F.lit(k)
+        pick = F.when(safe, F.col("_q")[i])
+        thr = pick if thr is None else pick.otherwise(thr)
+    st = st.select(key, thr.alias("_thr"))
+    prof = profiles.join(st, key, "left")
+    pairs = candidate_pairs(prof, items, max_broadcast_items)
+    keep = F.col("_thr").isNull() | (score >= F.col("_thr"))
+    pred = pairs.filter(keep).select(key, item, score.alias("prediction"))
+    return rank_predictions(pred, k, "prediction", key, item)
+
+
 def unrated_pairs(ratings: DataFrame, items: DataFrame, as_of=None, seconds: int | None = None,
                   max_broadcast_items: int = 2_000_000) -> DataFrame:
     """JOI4: (userid, itemid) candidates of the (active) users."""

@@ -345,11 +345,10 @@ def _hybrid_ranked(spark, sf_dir):
     prof = _active_profiles(r).select("userid", "owned", "user_mean")
     item_side = (pop.item_stats(r).select("itemid", F.col("mean_rating").alias("item_mean"))
                  .join(_items(spark, sf_dir).select("itemid", "psize"), "itemid"))
-    pairs = cand.candidate_pairs(prof, item_side)
     cf = F.col("item_mean")
     cb = F.col("user_mean") + F.col("psize") / F.lit(base.CONTENT_SCALE)
-    pred = pairs.select("userid", "itemid", hyb.blend_columns(cf, cb, HYBRID_WEIGHT).alias("prediction"))
-    return r, hyb.rank_predictions(pred, Params().hybrid_top_k)
+    return r, cand.topk_candidates(prof, item_side, hyb.blend_columns(cf, cb, HYBRID_WEIGHT),
+                                   Params().hybrid_top_k)
 
 
 @register("hybrid_topk")
@@ -485,7 +484,7 @@ def _model_candidates(spark, sf_dir, with_cf: bool, with_cb: bool, alpha: float
         a = p.cb_elastic_net if alpha is None else alpha
         coefs = linear.fit_user_models(lab, _n_features(), p.cb_reg_param, a, p.cb_max_iter)
         prof = prof.join(coefs.select("userid", "intercept", "coef"), "userid")
-    return cand.candidate_pairs(prof, items)
+    return prof, items
 
 
 def _cf_col():
@@ -498,9 +497,8 @@ def _cb_col():
 
 @register("als_recs")
 def q_als_recs(spark, sf_dir):
-    c = _model_candidates(spark, sf_dir, True, False)
-    pred = c.select("userid", "itemid", _cf_col().alias("prediction"))
-    return hyb.rank_predictions(pred, Params().hybrid_top_k)
+    prof, items = _model_candidates(spark, sf_dir, True, False)
+    return cand.topk_candidates(prof, items, _cf_col(), Params().hybrid_top_k)
 
 
 @register("als_topk")
@@ -520,16 +518,14 @@ def q_user_models(spark, sf_dir):
 
 @register("content_recs")
 def q_content_recs(spark, sf_dir):
-    c = _model_candidates(spark, sf_dir, False, True)
-    pred = c.select("userid", "itemid", _cb_col().alias("prediction"))
-    return hyb.rank_predictions(pred, Params().hybrid_top_k)
+    prof, items = _model_candidates(spark, sf_dir, False, True)
+    return cand.topk_candidates(prof, items, _cb_col(), Params().hybrid_top_k)
 
 
 @register("glm_recs")
 def q_glm_recs(spark, sf_dir):
-    c = _model_candidates(spark, sf_dir, False, True, alpha=0.0)
-    pred = c.select("userid", "itemid", _cb_col().alias("prediction"))
-    return hyb.rank_predictions(pred, Params().hybrid_top_k)
+    prof, items = _model_candidates(spark, sf_dir, False, True, alpha=0.0)
+    return cand.topk_candidates(prof, items, _cb_col(), Params().hybrid_top_k)
 
 
 @register("forest_scores")
@@ -548,10 +544,9 @@ def q_tree_scores(spark, sf_dir):
 def q_hybrid_models(spark, sf_dir):
     """ML11 with the trained models: ALS ⊕ per-user elastic net, top 1000.
     A candidate needs both a factor pair and a coefficient row (inner join)."""
-    c = _model_candidates(spark, sf_dir, True, True)
-    pred = c.select("userid", "itemid", hyb.blend_columns(_cf_col(), _cb_col(), HYBRID_WEIGHT)
-                    .alias("prediction"))
-    return hyb.rank_predictions(pred, Params().hybrid_top_k)
+    prof, items = _model_candidates(spark, sf_dir, True, True)
+    return cand.topk_candidates(prof, items, hyb.blend_columns(_cf_col(), _cb_col(), HYBRID_WEIGHT),
+                                Params().hybrid_top_k)
 
 
 @register("item_clusters")
@@ -692,8 +687,8 @@ def q_user_models_roundtrip(spark, sf_dir):
     coefs = spark.read.parquet(path)
     r = _ratings(spark, sf_dir)
     prof = _active_profiles(r).select("userid", "owned").join(coefs.select("userid", "intercept", "coef"), "userid")
-    c = cand.candidate_pairs(prof, cand.rated_items(r).join(_features(spark, sf_dir), "itemid"))
-    return hyb.rank_predictions(c.select("userid", "itemid", _cb_col().alias("prediction")), SERVE_N)
+    items = cand.rated_items(r).join(_features(spark, sf_dir), "itemid")
+    return cand.topk_candidates(prof, items, _cb_col(), SERVE_N)
 
 
 @register("feature_table_csv")
