@@ -337,6 +337,17 @@ mrp_{name} AS (SELECT avg(CASE WHEN r_precision > 0 AND NOT isnan(r_precision) T
 
 def sql_hybrid_eval() -> dict[str, str]:
     q = {}
+    q["linear_scores"] = with_(
+        R_CHAIN + [I, CANDS, """coefs AS (SELECT userid, avg(rating) AS intercept,
+                                             count(*) / 1000.0::DOUBLE AS c0, 0.001::DOUBLE AS c1
+                                      FROM r GROUP BY userid)""",
+                   """ls AS (SELECT c.userid, c.itemid,
+                                    k.intercept + ((k.c0 * i.psize) + (k.c1 * i.pretailprice)) AS prediction
+                             FROM cands c JOIN coefs k USING (userid) JOIN i USING (itemid))"""],
+        """SELECT * FROM (
+             SELECT userid, itemid, prediction,
+                    CAST(row_number() OVER (PARTITION BY userid ORDER BY prediction DESC, itemid) AS INTEGER) AS rank
+             FROM ls) WHERE rank <= 10""")
     q["hybrid_topk"] = with_(HYB_CHAIN, "SELECT userid, itemid, prediction, rank FROM htop")
     q["hybrid_lists"] = with_(
         HYB_CHAIN, """SELECT userid, string_agg(CAST(itemid AS VARCHAR), ':' ORDER BY rank) AS recommended_ids

@@ -495,6 +495,21 @@ def _cb_col():
     return F.col("intercept") + cols.dot("coef", "features", _n_features())
 
 
+@register("linear_scores")
+def q_linear_scores(spark, sf_dir):
+    """ML4 on a coefficient table derived from the data (intercept = the
+    user's mean rating, coefficients = [n_ratings / 1000, 0.001]): the
+    scoring expression ``intercept + coef · features`` over the active
+    users' candidates, top 10 per user."""
+    r = _ratings(spark, sf_dir)
+    prof = _active_profiles(r).select(
+        "userid", "owned", F.col("user_mean").alias("intercept"),
+        F.array((F.col("n_ratings") / F.lit(1000.0)).cast("double"), F.lit(0.001)).alias("coef"))
+    items = cand.rated_items(r).join(_features(spark, sf_dir), "itemid")
+    return cand.topk_candidates(prof, items, _cb_col(), SERVE_N).select(
+        "userid", "itemid", "prediction", F.col("rank").cast("int").alias("rank"))
+
+
 @register("als_recs")
 def q_als_recs(spark, sf_dir):
     prof, items = _model_candidates(spark, sf_dir, True, False)
@@ -717,6 +732,13 @@ def _stream_counts(spark, sf_dir):
     return stream.counts_from_deltas(spark.read.parquet(out))
 
 
+@register("stream_deltas")
+def q_stream_deltas(spark, sf_dir):
+    """STR2: the raw delta log of the stateful learner."""
+    out, _ = stream.stream_deltas(spark, sf_dir, tables.actions_table(spark), "events.parquet")
+    return spark.read.parquet(out)
+
+
 @register("stream_rejected")
 def q_stream_rejected(spark, sf_dir):
     """STR1: the quarantine sink of the streaming ingest (same rules as batch)."""
