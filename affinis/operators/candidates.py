@@ -40,9 +40,10 @@ def ratings_after(ratings: DataFrame, ts: int, users: DataFrame | None = None) -
     return r.join(users.select("userid"), "userid", "left_semi") if users is not None else r
 
 
-def recent(ratings: DataFrame, as_of: int, seconds: int) -> DataFrame:
-    """FLT1: ratings of the last ``seconds`` before ``as_of`` (strict)."""
-    return ratings.filter(F.col("ts") > F.lit(as_of - seconds))
+def recent(ratings: DataFrame, as_of, seconds: int) -> DataFrame:
+    """FLT1: ratings of the last ``seconds`` before ``as_of`` (strict);
+    ``as_of`` may be a number or a (scalar-subquery) column."""
+    return ratings.filter(F.col("ts") > F.lit(as_of) - F.lit(seconds))
 
 
 def active_users(ratings: DataFrame, as_of: int, seconds: int) -> DataFrame:
@@ -77,13 +78,18 @@ def user_profiles(ratings: DataFrame, as_of=None, seconds: int | None = None) ->
     owned-item exclusion and every per-user model input, and leaves the
     rows hash-partitioned by user for everything downstream.  ``owned`` holds
     distinct item ids, so it is bounded by the catalogue, not by the log.
+
+    With ``as_of``, the active users are found first from the recent ratings
+    alone (a small distinct set that AQE broadcasts), and only their ratings
+    are semi-joined in and aggregated, so the shuffle carries the active
+    users' rows, not every user's.
     """
-    g = ratings.groupBy("userid").agg(
+    if as_of is not None:
+        active = recent(ratings, as_of, seconds).select("userid").distinct()
+        ratings = ratings.join(active, "userid", "left_semi")
+    return ratings.groupBy("userid").agg(
         F.collect_set("itemid").alias("owned"), F.avg("rating").alias("user_mean"),
         F.count(F.lit(1)).alias("n_ratings"), F.max("ts").alias("last_ts"))
-    if as_of is not None:
-        g = g.filter(F.col("last_ts") > F.lit(as_of) - F.lit(seconds))
-    return g
 
 
 def candidate_pairs(profiles: DataFrame, items: DataFrame, max_broadcast_items: int = 2_000_000,
