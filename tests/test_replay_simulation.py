@@ -43,3 +43,39 @@ def test_replay_equals_sequential_simulation(spark):
         got = {(r.item_a, r.item_b): r.similarity for r in out["similarity"].collect()}
         assert got == want
         assert {r.item_id: r.item_count for r in out["counts"].collect()} == want_counts
+
+
+def test_hot_user_holding_a_third_of_the_events(spark):
+    """One user owns a third of all events (every third event is moved to
+    user 'hot'); with a small pair block the hot user is split into many
+    block pairs and the running aggregates into many seq buckets, and the
+    result must still equal the sequential simulation (replay) and the
+    final-weight formula (exact)."""
+    from pyspark.sql import functions as F
+
+    res = ingest.valid(ingest.resolve_weights(tables.interactions_raw(spark, SF), tables.actions_table(spark)))
+    res = res.withColumn("user_id", F.when(F.col("seq") % 3 == 0, F.lit("hot")).otherwise(F.col("user_id")))
+    rows = [(r.seq, r.user_id, r.item_id, r.weight) for r in res.select("seq", "user_id", "item_id", "weight").collect()]
+    want, _ = simulate(rows)
+    p = Params(seq_bucket=50, pair_block_items=10)
+    got = {(r.item_a, r.item_b): r.similarity for r in sim.run(res, "replay", p)["similarity"].collect()}
+    assert got == want
+
+    # exact mode: P = Σ_u min(w_ui, w_uj), C = Σ_u w_ui over final weights
+    final: dict = {}
+    for _, u, i, w in rows:
+        final[(u, i)] = max(final.get((u, i), 0.0), w)
+    by_user: dict = defaultdict(dict)
+    for (u, i), w in final.items():
+        by_user[u][i] = w
+    cnt: dict = defaultdict(float)
+    pc: dict = defaultdict(float)
+    for items in by_user.values():
+        for i, w in items.items():
+            cnt[i] += w
+            for j, wj in items.items():
+                if i < j:
+                    pc[(i, j)] += min(w, wj)
+    exact = {k: v / (sqrt(cnt[k[0]]) * sqrt(cnt[k[1]])) for k, v in pc.items()}
+    got_exact = {(r.item_a, r.item_b): r.similarity for r in sim.run(res, "exact", p)["similarity"].collect()}
+    assert got_exact == exact
