@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +144,12 @@ LAST_N_ROWS = 1000             # FLT3: users of the last 1000 rating rows
 
 
 def _ratings(spark, sf_dir) -> DataFrame:
-    return tables.ratings(spark, sf_dir)
+    """The current ratings, shared by every consumer of a session (the as-of
+    scalar, profiles, item statistics, splits, model inputs): persisted once
+    (memory, spilling to disk; a lost block is recomputed from lineage), so
+    Spark's cache manager serves all of them instead of re-running the log
+    join and the latest-per-key aggregate each time."""
+    return tables.ratings(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def as_of(ratings: DataFrame):
