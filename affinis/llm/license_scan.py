@@ -110,7 +110,18 @@ class Scanner:
                     done = last
                     errors = sum(m.fuzzy_counts)
                     found.append(Span(label, first, last, errors, 1.0 - errors / len(notice)))
-        return found
+        return _closest(found)
+
+
+def _closest(found: list[Span]) -> list[Span]:
+    """Of spans that share words the one with the highest similarity (then the
+    first): notices that differ in little more than k characters match each
+    other's places."""
+    taken: list[Span] = []
+    for s in sorted(found, key=lambda s: (-s.similarity, s.first_word, s.label)):
+        if all(s.last_word < t.first_word or t.last_word < s.first_word for t in taken):
+            taken.append(s)
+    return sorted(taken, key=lambda s: s.first_word)
 
 
 def _windows(places: list[int], length: int, margin: int) -> list[tuple[int, int]]:
