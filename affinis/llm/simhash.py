@@ -246,7 +246,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     by_fp = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     final = classes.join(by_fp, "fp", "left").select(
         "fp", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    # written first: the join then has two plain sides, so that a hot fingerprint's rows can be split
+    return prints.join(written(final, "class-components"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
