@@ -43,9 +43,10 @@ def state_to_rating(c: str) -> Column:
 
 
 def id_after_last(c: str, sep: str = "_") -> Column:
-    """PRJ8: the numeric id after the last ``sep``, quotes stripped."""
+    """PRJ8: the numeric id after the last ``sep``, quotes stripped; null if
+    that is no number."""
     s = F.regexp_replace(F.col(c), '"', "")
-    return F.substring_index(s, sep, -1).cast("int")
+    return F.substring_index(s, sep, -1).try_cast("int")
 
 
 def safe_feature_name(c: str) -> Column:
@@ -64,9 +65,10 @@ def half_stars_to_ten(c: str) -> Column:
 
 
 def parse_id_list(c: str) -> Column:
-    """PRJ12: ``"1:2:3"`` → ``[1, 2, 3]``; the empty string → ``[]``."""
+    """PRJ12: ``"1:2:3"`` → ``[1, 2, 3]``; the empty string → ``[]``;
+    parts that are no number are left out."""
     parts = F.filter(F.split(F.col(c), ":"), lambda x: F.length(x) > 0)
-    return F.transform(parts, lambda x: x.cast("int"))
+    return F.filter(F.transform(parts, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
 
 def join_id_list(c: str) -> Column:

@@ -57,14 +57,18 @@ class ItemSchema:
 def decode_items(json_rows: DataFrame, schema: ItemSchema, value_col: str = "value") -> DataFrame:
     """FE7/FE8: decode item JSON rows with the declared types.
 
-    Rows that do not parse, or lack the id, get ``reason``; the caller splits
+    Rows that do not parse (a value of the wrong type included), or lack the
+    id, get ``reason``; the caller splits
     them off into a quarantine.  Numbers keep their declared type (the
     reference truncated them to int).
     """
-    parsed = F.from_json(F.col(value_col), schema.struct(), {"mode": "PERMISSIVE"})
+    declared = schema.struct()
+    with_rest = T.StructType([*declared.fields, T.StructField("_unparsed", T.StringType())])
+    parsed = F.from_json(F.col(value_col), with_rest,
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unparsed"})
     d = json_rows.withColumn("_item", parsed)
     cols = [F.col(f"_item.{f.name}").alias(f.name) for f in schema.struct().fields]
-    reason = (F.when(F.col("_item").isNull(), F.lit("unparsable"))
+    reason = (F.when(F.col("_item").isNull() | F.col("_item._unparsed").isNotNull(), F.lit("unparsable"))
               .when(F.col(f"_item.{schema.id_name}").isNull(), F.lit("missing_id")))
     return d.select(*[c for c in json_rows.columns], *cols, reason.alias("reason")).drop("_item")
 

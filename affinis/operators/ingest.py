@@ -23,24 +23,28 @@ REASON_BOTH = "both_action_and_rating"
 REASON_NEITHER = "no_action_no_rating"
 REASON_UNKNOWN = "unknown_action"
 REASON_NON_POSITIVE = "non_positive_weight"
+REASON_NO_ID = "missing_id"
+REASON_NO_WEIGHT = "weight_not_a_number"
 
 
 def resolve_weights(raw: DataFrame, actions: DataFrame, as_of: int | None = None,
-                    max_broadcast_rows: int = 100_000) -> DataFrame:
+                    ) -> DataFrame:
     """Attach ``weight`` and ``reason`` (null when valid) to every raw event.
 
     ``raw`` has ``user_id, item_id, action, rating, ts`` (+ any extra columns);
-    ``actions`` is the ``name, weight`` dimension, broadcast after a row check.
+    ``actions`` is the ``name, weight`` dimension, broadcast if its size is known to be small.
+    An event is valid only with both ids and a weight that is a number above 0.
     """
     acts = sized_broadcast(
-        actions.select(F.col("name").alias("_aname"), F.col("weight").alias("_aw")),
-        max_broadcast_rows)
+        actions.select(F.col("name").alias("_aname"), F.col("weight").alias("_aw")))
     j = raw.join(acts, raw.action == acts._aname, "left")
     has_a, has_r = F.col("action").isNotNull(), F.col("rating").isNotNull()
     weight = F.when(has_a, F.col("_aw")).otherwise(F.col("rating"))
-    reason = (F.when(has_a & has_r, F.lit(REASON_BOTH))
+    reason = (F.when(F.col("user_id").isNull() | F.col("item_id").isNull(), F.lit(REASON_NO_ID))
+              .when(has_a & has_r, F.lit(REASON_BOTH))
               .when(~has_a & ~has_r, F.lit(REASON_NEITHER))
               .when(has_a & F.col("_aname").isNull(), F.lit(REASON_UNKNOWN))
+              .when(weight.isNull() | F.isnan(weight.cast("double")), F.lit(REASON_NO_WEIGHT))
               .when(weight <= 0, F.lit(REASON_NON_POSITIVE)))
     ts = F.col("ts") if as_of is None else F.coalesce(F.col("ts"), F.lit(as_of).cast("long"))
     return (j.withColumn("weight", weight.cast("double"))

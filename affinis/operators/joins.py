@@ -1,28 +1,24 @@
 """Join helpers: size-checked broadcast and id lookups (JOI12).
 
-``sized_broadcast`` broadcasts a side only after proving it has at most
-``max_rows`` rows (a ``limit(n + 1).count()`` job that stops early); beyond
-that the side is left to the shuffle join that AQE plans at run time.  The
-side is persisted first, so the check and the join read the same
-materialised rows instead of computing the side's upstream twice (a lost
-cached block is recomputed from lineage).
+``sized_broadcast`` broadcasts a side whose size the optimizer can bound in
+bytes; any other side is left to the join that Spark and AQE choose.  It runs no
+job and caches nothing.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's upper estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` if it provably has ≤ ``max_rows`` rows, else ``df``."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(df) if row_bound_holds(df, max_rows) else df
+def sized_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """``broadcast(df)`` if its plan is known to be at most ``max_bytes``, else ``df``."""
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
 
 
 def lookup(ids: DataFrame, table: DataFrame, key: str, found_col: str = "found") -> DataFrame:

@@ -100,7 +100,7 @@ def _sim(pc, ca, cb) -> F.Column:
 
 def similarity_exact(pairs: DataFrame, counts: DataFrame, params: Params = Params()) -> DataFrame:
     """SIM4: similarity with the final item counts."""
-    c = sized_broadcast(counts, params.broadcast_max_rows)
+    c = sized_broadcast(counts)
     ca = c.select(F.col("item_id").alias("item_a"), F.col("item_count").alias("count_a"))
     cb = c.select(F.col("item_id").alias("item_b"), F.col("item_count").alias("count_b"))
     return (pairs.join(ca, "item_a").join(cb, "item_b")
@@ -174,8 +174,7 @@ def recommend(state: DataFrame, neigh: DataFrame, n: int | None = None,
     The neighbour table has at most k rows per item, so it is broadcast
     after a row check; a hot item then costs no shuffle skew.
     """
-    nb = sized_broadcast(neigh.select("item_id", "other_id", "similarity"),
-                         params.broadcast_max_rows)
+    nb = sized_broadcast(neigh.select("item_id", "other_id", "similarity"))
     j = state.select("user_id", "item_id", "w").join(nb, "item_id")
     sc = (j.groupBy("user_id", "other_id")
           .agg(F.sum(F.col("similarity") * F.col("w")).alias("_num"),

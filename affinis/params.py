@@ -52,7 +52,6 @@ class Params:
     # items per side; heavier users are split into several blocks.
     pair_block_items: int = 2048
     # broadcast only sides with a proven row bound below this
-    broadcast_max_rows: int = 2_000_000
     # clustering
     clusters_k: int = DEFAULT_CLUSTERS_K
     clusters_seed: int = DEFAULT_CLUSTERS_SEED

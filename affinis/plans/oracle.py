@@ -192,12 +192,16 @@ def sql_ratings() -> dict[str, str]:
     q["rated_items"] = with_(R_CHAIN, "SELECT DISTINCT itemid FROM r")
     q["catalogue_items"] = "SELECT DISTINCT CAST(p_partkey AS INTEGER) AS itemid FROM part"
     q["unrated_pairs"] = with_(
-        R_CHAIN, """SELECT a.userid, i.itemid FROM active a CROSS JOIN (SELECT DISTINCT itemid FROM r) i
-                    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.userid = a.userid AND r.itemid = i.itemid)""")
+        R_CHAIN + [E_RAW], """SELECT DISTINCT TRY_CAST(e.user_id AS INTEGER) AS userid, TRY_CAST(e.item_id AS INTEGER) AS itemid
+                    FROM e_raw e WHERE TRY_CAST(e.user_id AS INTEGER) IN (SELECT userid FROM active)
+                      AND TRY_CAST(e.item_id AS INTEGER) IN (SELECT itemid FROM r)
+                      AND NOT EXISTS (SELECT 1 FROM r WHERE r.userid = TRY_CAST(e.user_id AS INTEGER)
+                                      AND r.itemid = TRY_CAST(e.item_id AS INTEGER))""")
     q["unrated_pairs_catalogue"] = with_(
-        R_CHAIN, """SELECT a.userid, i.itemid FROM active a
-                    CROSS JOIN (SELECT DISTINCT CAST(p_partkey AS INTEGER) AS itemid FROM part) i
-                    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.userid = a.userid AND r.itemid = i.itemid)""")
+        R_CHAIN + [E_RAW], """SELECT DISTINCT TRY_CAST(e.user_id AS INTEGER) AS userid, TRY_CAST(e.item_id AS INTEGER) AS itemid
+                    FROM e_raw e WHERE TRY_CAST(e.item_id AS INTEGER) IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+                      AND NOT EXISTS (SELECT 1 FROM r WHERE r.userid = TRY_CAST(e.user_id AS INTEGER)
+                                      AND r.itemid = TRY_CAST(e.item_id AS INTEGER))""")
     q["item_stats"] = with_(
         R_CHAIN + [STATS], "SELECT itemid, round(mean_rating, 6) AS mean_rating, n_ratings FROM stats")
     q["popular_items"] = popular("SELECT count(*) FROM r")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ from affinis.operators import models
 from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
 from affinis.params import Params
-from affinis.session import fanout_partitions, shared_scratch
+from affinis.session import shared_scratch
 from affinis.sources import files, sinks, tables
 from affinis.streaming import learner as stream
 
@@ -144,16 +143,9 @@ LAST_N_ROWS = 1000             # FLT3: users of the last 1000 rating rows
 
 
 def _ratings(spark, sf_dir) -> DataFrame:
-    """The current ratings, shared by every consumer of a session (the as-of
-    scalar, profiles, item statistics, splits, model inputs): persisted once
-    (memory, spilling to disk; a lost block is recomputed from lineage), so
-    Spark's cache manager serves all of them instead of re-running the log
-    join and the latest-per-key aggregate each time.  It is cached at an
-    explicit partition count: a cached table keeps its partitioning, and the
-    count AQE would pick from its (small) size would starve everything that
-    reads it without a new shuffle."""
-    r = tables.ratings(spark, sf_dir)
-    return r.repartition(fanout_partitions(spark), "userid", "itemid").persist(StorageLevel.MEMORY_AND_DISK)
+    """The current ratings: a plan, never a session-wide cache, so that rows
+    appended to the log are seen by the next query."""
+    return tables.ratings(spark, sf_dir)
 
 
 def as_of(ratings: DataFrame):
@@ -208,17 +200,26 @@ def q_catalogue_items(spark, sf_dir):
     return cand.catalogue_items(tables.items(spark, sf_dir))
 
 
+def _event_pairs(spark, sf_dir) -> DataFrame:
+    """The (user, item) pairs that the event log names, as given pairs."""
+    ev_ = tables.interactions_raw(spark, sf_dir)
+    return ev_.select(F.col("user_id").try_cast("int").alias("userid"), F.col("item_id").try_cast("int").alias("itemid")).distinct()
+
+
 @register("unrated_pairs")
 def q_unrated_pairs(spark, sf_dir):
     r = _ratings(spark, sf_dir)
-    return cand.unrated_pairs(r, cand.rated_items(r), as_of(r), RECENCY_SECONDS)
+    pairs = _event_pairs(spark, sf_dir).join(_active(r), "userid", "left_semi")
+    return cand.unrated_of(pairs.join(cand.rated_items(r), "itemid", "left_semi"), r).select("userid", "itemid")
 
 
 @register("unrated_pairs_catalogue")
 def q_unrated_pairs_catalogue(spark, sf_dir):
+    """Of all users' event pairs, those of the cheaper half of the catalogue."""
     r = _ratings(spark, sf_dir)
-    return cand.unrated_pairs(r, cand.catalogue_items(tables.items(spark, sf_dir)), as_of(r),
-                              RECENCY_SECONDS)
+    its = tables.items(spark, sf_dir).where("psize <= 25")
+    return cand.unrated_of(_event_pairs(spark, sf_dir).join(
+        cand.catalogue_items(its), "itemid", "left_semi"), r).select("userid", "itemid")
 
 
 @register("item_stats")
@@ -337,28 +338,28 @@ HYBRID_WEIGHT = Params().hb_collaborative_weight
 SERVE_N = 10
 
 
-def _candidates(spark, sf_dir):
-    r = _ratings(spark, sf_dir)
-    return r, cand.unrated_pairs(r, cand.rated_items(r), as_of(r), RECENCY_SECONDS)
-
-
 def _active_profiles(r):
     return cand.user_profiles(r, as_of(r), RECENCY_SECONDS)
 
 
-def _hybrid_ranked(spark, sf_dir):
-    """ML11 on the stand-in predictors, scored on enriched candidate rows:
-    cf = the item's mean rating, cb = the user's mean + size / 50; both are
-    defined for every candidate, so the inner join of the two sides keeps
-    all of them."""
+def _hybrid_ranked(spark, sf_dir, n: int | None = None, users: DataFrame | None = None):
+    """ML11 on the stand-in predictors: cf = the item's mean rating, cb = the
+    user's mean + size / 50; both are defined for every candidate, so the
+    inner join of the two sides keeps all of them.  ``n`` and ``users``
+    restrict the work to what a consumer needs."""
     r = _ratings(spark, sf_dir)
     prof = _active_profiles(r).select("userid", "owned", "user_mean")
+    if users is not None:
+        prof = prof.join(users, "userid", "left_semi")
     item_side = (pop.item_stats(r).select("itemid", F.col("mean_rating").alias("item_mean"))
                  .join(_items(spark, sf_dir).select("itemid", "psize"), "itemid"))
     cf = F.col("item_mean")
     cb = F.col("user_mean") + F.col("psize") / F.lit(base.CONTENT_SCALE)
-    return r, cand.topk_candidates(prof, item_side, hyb.blend_columns(cf, cb, HYBRID_WEIGHT),
-                                   Params().hybrid_top_k)
+    w = HYBRID_WEIGHT
+    return r, cand.pruned_topk(
+        prof, item_side, hyb.blend_columns(cf, cb, w), n or Params().hybrid_top_k,
+        [F.lit(w), F.lit((1.0 - w) / base.CONTENT_SCALE)], [F.col("item_mean"), F.col("psize")],
+        F.col("user_mean") * (1.0 - w))
 
 
 @register("hybrid_topk")
@@ -378,16 +379,16 @@ def q_hybrid_lists(spark, sf_dir):
 def _online_lists(spark, sf_dir):
     out = _learner(spark, sf_dir, "exact")
     rec = sim.recommend(out["state"], out["neighbours"]).select(
-        F.col("user_id").cast("int").alias("userid"), F.col("item_id").cast("int").alias("itemid"), "rank")
+        F.col("user_id").try_cast("int").alias("userid"), F.col("item_id").try_cast("int").alias("itemid"), "rank")
     return hyb.id_lists(rec)
 
 
 @register("serve_with_fallback")
 def q_serve_with_fallback(spark, sf_dir):
-    r, h = _hybrid_ranked(spark, sf_dir)
+    r, h = _hybrid_ranked(spark, sf_dir, SERVE_N)
     stored = hyb.id_lists(h)
     online = _online_lists(spark, sf_dir)
-    ev_users = tables.interactions_raw(spark, sf_dir).select(F.col("user_id").cast("int").alias("userid"))
+    ev_users = tables.interactions_raw(spark, sf_dir).select(F.col("user_id").try_cast("int").alias("userid"))
     users = cand.all_users(r).unionByName(ev_users)
     s = hyb.serve(users, stored, online, SERVE_N)
     return s.select("userid", cols.join_id_list("recommended_ids").alias("recommended_ids"), "source")
@@ -405,7 +406,7 @@ def _newest_top(r, n):
 
 @register("final_padded")
 def q_final_padded(spark, sf_dir):
-    r, h = _hybrid_ranked(spark, sf_dir)
+    r, h = _hybrid_ranked(spark, sf_dir, SERVE_N)
     lists = hyb.pad_lists(cand.all_users(r), h, _popular_top(r, SERVE_N), _newest_top(r, SERVE_N),
                           r, SERVE_N)
     return hyb.id_list_text(lists)
@@ -499,6 +500,20 @@ def _model_candidates(spark, sf_dir, with_cf: bool, with_cb: bool, alpha: float
     return prof, items
 
 
+def _parts(name: str, n: int) -> list[F.Column]:
+    return [F.col(name)[j] for j in range(n)]
+
+
+def _cf_topk(prof, items, k):
+    d = Params().cf_rank
+    return cand.pruned_topk(prof, items, _cf_col(), k, _parts("uf", d), _parts("vf", d))
+
+
+def _cb_topk(prof, items, k):
+    d = _n_features()
+    return cand.pruned_topk(prof, items, _cb_col(), k, _parts("coef", d), _parts("features", d), F.col("intercept"))
+
+
 def _cf_col():
     return cols.dot("uf", "vf", Params().cf_rank)
 
@@ -518,14 +533,14 @@ def q_linear_scores(spark, sf_dir):
         "userid", "owned", F.col("user_mean").alias("intercept"),
         F.array((F.col("n_ratings") / F.lit(1000.0)).cast("double"), F.lit(0.001)).alias("coef"))
     items = cand.rated_items(r).join(_features(spark, sf_dir), "itemid")
-    return cand.topk_candidates(prof, items, _cb_col(), SERVE_N).select(
+    return _cb_topk(prof, items, SERVE_N).select(
         "userid", "itemid", "prediction", F.col("rank").cast("int").alias("rank"))
 
 
 @register("als_recs")
 def q_als_recs(spark, sf_dir):
     prof, items = _model_candidates(spark, sf_dir, True, False)
-    return cand.topk_candidates(prof, items, _cf_col(), Params().hybrid_top_k)
+    return _cf_topk(prof, items, Params().hybrid_top_k)
 
 
 @register("als_topk")
@@ -546,24 +561,31 @@ def q_user_models(spark, sf_dir):
 @register("content_recs")
 def q_content_recs(spark, sf_dir):
     prof, items = _model_candidates(spark, sf_dir, False, True)
-    return cand.topk_candidates(prof, items, _cb_col(), Params().hybrid_top_k)
+    return _cb_topk(prof, items, Params().hybrid_top_k)
 
 
 @register("glm_recs")
 def q_glm_recs(spark, sf_dir):
     prof, items = _model_candidates(spark, sf_dir, False, True, alpha=0.0)
-    return cand.topk_candidates(prof, items, _cb_col(), Params().hybrid_top_k)
+    return _cb_topk(prof, items, Params().hybrid_top_k)
+
+
+def _split_pairs(spark, sf_dir):
+    """Train ratings and the test pairs to score."""
+    s = cand.ordered_split(_ratings(spark, sf_dir), Params().train_fraction)
+    return (s.filter(F.col("split") == "train").drop("split"),
+            s.filter(F.col("split") == "test").select("userid", "itemid"))
 
 
 @register("forest_scores")
 def q_forest_scores(spark, sf_dir):
-    r, pairs = _candidates(spark, sf_dir)
+    r, pairs = _split_pairs(spark, sf_dir)
     return models.content_predictions("random_forest", r, _features(spark, sf_dir), pairs, _n_features())
 
 
 @register("tree_scores")
 def q_tree_scores(spark, sf_dir):
-    r, pairs = _candidates(spark, sf_dir)
+    r, pairs = _split_pairs(spark, sf_dir)
     return models.content_predictions("decision_tree", r, _features(spark, sf_dir), pairs, _n_features())
 
 
@@ -572,8 +594,8 @@ def q_hybrid_models(spark, sf_dir):
     """ML11 with the trained models: ALS ⊕ per-user elastic net, top 1000.
     A candidate needs both a factor pair and a coefficient row (inner join)."""
     prof, items = _model_candidates(spark, sf_dir, True, True)
-    return cand.topk_candidates(prof, items, hyb.blend_columns(_cf_col(), _cb_col(), HYBRID_WEIGHT),
-                                Params().hybrid_top_k)
+    return cand.pruned_topk(prof, items, hyb.blend_columns(_cf_col(), _cb_col(), HYBRID_WEIGHT), Params().hybrid_top_k,
+                            *models.blended_vectors(Params().cf_rank, _n_features(), HYBRID_WEIGHT))
 
 
 @register("item_clusters")
@@ -650,7 +672,7 @@ def q_batch_run(spark, sf_dir):
 def q_item_lookup(spark, sf_dir):
     """JOI12: the items the event log refers to, looked up in the catalogue
     (ids missing there come back with ``found = false``)."""
-    ids = (tables.interactions_raw(spark, sf_dir).select(F.col("item_id").cast("int").alias("itemid"))
+    ids = (tables.interactions_raw(spark, sf_dir).select(F.col("item_id").try_cast("int").alias("itemid"))
            .distinct())
     it = _items(spark, sf_dir).select("itemid", "category", "psize")
     return joins.lookup(ids, it, "itemid")
@@ -660,15 +682,16 @@ def q_item_lookup(spark, sf_dir):
 def q_active_user_predictions(spark, sf_dir):
     """SRC5: stored hybrid predictions of a set of users (those of the last
     1000 ratings), as a semi join."""
-    r, h = _hybrid_ranked(spark, sf_dir)
-    return hyb.predictions_for(h, cand.last_n_users(r, LAST_N_ROWS)).select(
+    wanted = cand.last_n_users(_ratings(spark, sf_dir), LAST_N_ROWS)
+    _, h = _hybrid_ranked(spark, sf_dir, users=wanted)
+    return h.select(
         "userid", "itemid", "prediction", F.col("rank").cast("int").alias("rank"))
 
 
 @register("stored_lists_top")
 def q_stored_lists_top(spark, sf_dir):
     """PRJ12 + LIM3: stored ``1:2:3`` lists parsed back, first 10 ids."""
-    _, h = _hybrid_ranked(spark, sf_dir)
+    _, h = _hybrid_ranked(spark, sf_dir, SERVE_N)
     stored = hyb.id_list_text(hyb.id_lists(h))
     parsed = stored.select("userid", cols.parse_id_list("recommended_ids").alias("recommended_ids"))
     top = hyb.take(parsed, SERVE_N)
@@ -715,7 +738,7 @@ def q_user_models_roundtrip(spark, sf_dir):
     r = _ratings(spark, sf_dir)
     prof = _active_profiles(r).select("userid", "owned").join(coefs.select("userid", "intercept", "coef"), "userid")
     items = cand.rated_items(r).join(_features(spark, sf_dir), "itemid")
-    return cand.topk_candidates(prof, items, _cb_col(), SERVE_N)
+    return _cb_topk(prof, items, SERVE_N)
 
 
 @register("feature_table_csv")

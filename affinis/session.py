@@ -39,8 +39,8 @@ def local_session(cpus: int | str = "*", app: str = "affinis", **conf) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set one only when unset.
 
-    On a cluster this must be a shared folder (HDFS / object store).  The
-    temporary-folder fallback exists for local tests only.
+    On a cluster this must be a shared folder (HDFS / object store), and a
+    cluster without one is an error; a temporary folder serves a local master only.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="affinis-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -17,7 +17,8 @@ MOVIES_CSV_SCHEMA = "itemid int, title string, genres string"
 
 
 def read_ratings_csv(spark: SparkSession, path: str | list[str], require_all: bool = False) -> DataFrame:
-    """SRC2: ``userId,itemId,rating,timestamp`` with header.  A line whose
+    """SRC2: the columns ``userId, itemId, rating, timestamp`` by their names
+    in the header, in any order.  A line with too few or too many fields, or whose
     user, item or rating does not parse is dropped; an empty field is a null
     (kept, unless ``require_all`` — the uploader's variant).
 
@@ -25,10 +26,17 @@ def read_ratings_csv(spark: SparkSession, path: str | list[str], require_all: bo
     references every typed field, so it holds whatever columns a query reads
     (``DROPMALFORMED`` only checks the columns a query happens to parse).
     """
-    raw = (spark.read.schema("userid string, itemid string, rating string, timestamp string")
-           .option("header", True).option("mode", "PERMISSIVE").csv(path))
+    header = spark.read.option("header", True).csv(path).columns
+    missing = {"userid", "itemid", "rating", "timestamp"} - {c.lower() for c in header}
+    if missing:
+        raise ValueError(f"the header lacks {sorted(missing)}")
+    schema = ", ".join(f"`{c}` string" for c in [*header, "_broken"])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_broken").option("columnPruning", False)
+           .option("enforceSchema", False).csv(path))
+    raw = raw.select(*[F.col(c).alias(c.lower()) for c in header], "_broken")
     typed = {"userid": "int", "itemid": "int", "rating": "double"}
-    bad = F.lit(False)
+    bad = F.col("_broken").isNotNull()
     out = []
     for c, t in typed.items():
         v = F.col(c).try_cast(t)
@@ -81,6 +89,7 @@ def erp_ratings(orders: DataFrame) -> DataFrame:
         cols.id_after_last("partner").alias("userid"), cols.id_after_last("product").alias("itemid"),
         rating.alias("rating"), "state", "product", "partner")
     reason = (F.when(~cols.non_empty("product", "partner", "state"), F.lit("empty_field"))
+              .when(F.col("userid").isNull() | F.col("itemid").isNull(), F.lit("bad_id"))
               .when(F.col("rating").isNull(), F.lit("unknown_state")))
     return out.withColumn("reason", reason)
 

@@ -132,5 +132,10 @@ ACTIONS_SCHEMA = "name string, weight double"
 
 
 def actions_table(spark: SparkSession, rows=None) -> DataFrame:
-    """The small action → weight dimension table."""
-    return spark.createDataFrame(rows if rows is not None else EVENT_ACTIONS, ACTIONS_SCHEMA)
+    """The small action → weight dimension table, as literal rows of the plan."""
+    rows = list(rows if rows is not None else EVENT_ACTIONS)
+    if not rows:
+        return spark.createDataFrame([], ACTIONS_SCHEMA)
+    args = {f"n{i}": n for i, (n, _) in enumerate(rows)} | {f"w{i}": float(w) for i, (_, w) in enumerate(rows)}
+    values = ", ".join(f"(:n{i}, :w{i})" for i in range(len(rows)))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS actions(name, weight)", args=args)

@@ -40,13 +40,27 @@ DELTA_SCHEMA = "kind string, item_a string, item_b string, delta double, seq lon
 STATE_SCHEMA = "items map<string, double>"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def raw_stream(spark: SparkSession, folder: str, file_glob: str = "*.parquet",
-               max_files_per_trigger: int = 1) -> DataFrame:
-    """Raw interaction files as a stream (schema declared, never inferred)."""
+               max_files_per_trigger: int | None = None) -> DataFrame:
+    """Raw interaction files as a stream (schema declared, never inferred).
+
+    ``folder/file_glob`` may be one file, or a table folder of part files."""
     from affinis.sources.tables import epoch_seconds
 
-    ev = (spark.readStream.schema(RAW_EVENT_SCHEMA).option("pathGlobFilter", file_glob)
-          .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder))
+    table = os.path.join(folder, file_glob)
+    reader = spark.readStream.schema(RAW_EVENT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if "*" not in file_glob and _is_folder(spark, table):
+        ev = reader.parquet(table)
+    else:
+        ev = reader.option("pathGlobFilter", file_glob).parquet(folder)
     return ev.select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("user_id"),
         F.get_json_object("props", "$.k").alias("item_id"), F.col("event_type").alias("action"),
@@ -91,11 +105,13 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, available_now:
 
 
 def stream_deltas(spark: SparkSession, folder: str, actions: DataFrame, file_glob: str = "*.parquet",
-                  base: str | None = None) -> tuple[str, str]:
+                  base: str | None = None, max_files_per_trigger: int | None = None) -> tuple[str, str]:
     """STR1 + STR2 over all files now present; returns (delta folder,
-    quarantine folder).  Both are under the shared checkpoint directory."""
+    quarantine folder).  Both are under ``base``, which a restarted stream names
+    again to go on where it stopped; without it, a fresh folder under the shared
+    checkpoint directory."""
     root = base or os.path.join(ensure_checkpoint_dir(spark), "affinis-stream", uuid.uuid4().hex)
-    raw = raw_stream(spark, folder, file_glob)
+    raw = raw_stream(spark, folder, file_glob, max_files_per_trigger)
     resolved = ingest.resolve_weights(raw, actions)
     deltas_out, quarantine_out = os.path.join(root, "deltas"), os.path.join(root, "quarantine")
     q1 = run_to_parquet(learner_stream(ingest.valid(resolved)), deltas_out, os.path.join(root, "ck-deltas"))

@@ -1,5 +1,6 @@
 """Properties of blending, ranking, serving and padding."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from affinis.operators import hybrid as hyb
@@ -57,17 +58,51 @@ def test_sweep_grid():
     assert len(w) == 19 and w[0] == 0.1 and w[-1] == 1.0 and w[1] == 0.15
 
 
-def test_topk_candidates_threshold_path_is_exact(spark):
-    """Small k makes the percentile pre-filter active; the result must equal
-    a full per-user sort of all candidates."""
+@pytest.mark.parametrize("k, block_items, max_blocks", [(5, 16, 2048), (5, 1000, 2048), (40, 16, 3), (290, 8, 64), (1, 1, 2048)])
+def test_pruned_topk_equals_brute_force(spark, k, block_items, max_blocks):
+    """Every branch: one block, many, few large ones, k beyond what is left,
+    negative weights, ties, null and NaN vectors."""
     from affinis.operators import candidates as cand
 
-    prof = spark.createDataFrame([(u, [u % 7, (u * 3) % 11], float(u % 5)) for u in range(1, 41)],
-                                 "userid int, owned array<int>, ub double")
-    items = spark.createDataFrame([(i, float((i * 37) % 101) / 10.0) for i in range(300)], "itemid int, ib double")
-    score = F.col("ub") * F.lit(0.3) + F.col("ib") + (F.col("itemid") % 3) * F.lit(0.5)
-    got = cand.topk_candidates(prof, items, score, 5)
-    full = cand.candidate_pairs(prof, items).select("userid", "itemid", score.alias("prediction"))
-    want = hyb.rank_predictions(full, 5)
-    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
-    assert got.count() == 40 * 5
+    users = [(u, [u % 7, (u * 3) % 11], float(u % 5) - 2.0, [float(u % 4) - 1.5, 0.25 * (u % 3)]) for u in range(1, 41)]
+    users += [(98, [1], 1.0, [float("nan"), 1.0]), (99, [], None, [1.0, 1.0])]
+    rows = [(i, [float((i * 37) % 101) / 8.0, float(i % 5)]) for i in range(300)] + [(900, [None, 1.0]), (901, [float("nan"), 1.0])]
+    prof = spark.createDataFrame(users, "userid int, owned array<int>, c double, p array<double>")
+    items = spark.createDataFrame(rows, "itemid int, q array<double>")
+    score = F.col("c") + F.col("p")[0] * F.col("q")[0] + F.col("p")[1] * F.col("q")[1]
+    got = cand.pruned_topk(prof, items, score, k, [F.col("p")[0], F.col("p")[1]], [F.col("q")[0], F.col("q")[1]],
+                           F.col("c"), block_items, max_blocks)
+    want = []
+    for u, owned, c, p in users[:40]:
+        full = sorted((-(c + p[0] * q[0] + p[1] * q[1]), i) for i, q in rows[:300] if i not in owned)[:k]
+        want += [(u, i, -v, n) for n, (v, i) in enumerate(full, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_no_product_is_planned(spark):
+    """No plan of a top-k over users and items has a nested-loop or cartesian join."""
+    from affinis.plans import queries as q
+
+    for name in ("hybrid_topk", "linear_scores", "final_padded", "als_recs", "content_recs", "hybrid_models"):
+        plan = q.REGISTRY[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_appended_rows_are_seen(spark, tmp_path):
+    """A query built after an append reads the new rows, and queries leave no cache behind."""
+    import shutil
+
+    from affinis.plans import queries as q
+
+    for t in ("orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").mkdir()
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet" / "part-0.parquet")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = q.REGISTRY["ratings_latest"](spark, str(tmp_path)).agg(F.max("userid"), F.count("*")).first()
+    orders = spark.read.parquet(str(tmp_path / "orders.parquet")).limit(1)
+    lines = spark.read.parquet(str(tmp_path / "lineitem.parquet")).limit(1)
+    orders.withColumns({"o_orderkey": F.lit(-5).cast("long"), "o_custkey": F.lit(10**6).cast("long")}).select(orders.columns).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    lines.withColumn("l_orderkey", F.lit(-5).cast("long")).select(lines.columns).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    after = q.REGISTRY["ratings_latest"](spark, str(tmp_path)).agg(F.max("userid"), F.count("*")).first()
+    assert after[1] == before[1] + 1 and after[0] == 10**6
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held

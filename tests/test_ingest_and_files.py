@@ -155,3 +155,43 @@ def test_csv_sinks_and_model_roundtrip(spark):
     a = sorted(tuple(r) for r in models.cf_predictions(m, ratings).collect())
     b = sorted(tuple(r) for r in models.cf_predictions(m2, ratings).collect())
     assert a == b and len(a) == 35
+
+
+def test_ratings_csv_goes_by_header_name(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_text("itemId,userId,timestamp,rating\n7,1,99,4.5\n8,2\n9,3,98,3.0,extra\nx,4,97,2.0\n")
+    got = [tuple(r) for r in files.read_ratings_csv(spark, str(p)).select("userid", "itemid", "rating", "timestamp").collect()]
+    assert got == [(1, 7, 4.5, "99")]
+
+
+def test_wrongly_typed_item_is_unparsable(spark):
+    sch = ItemSchema.parse('{"id": {"name": "itemid", "type": "int"}, "features": [{"name": "f", "type": "double"}]}')
+    rows = spark.createDataFrame([('{"itemid":1,"f":"abc"}',), ("not json",), ('{"f":1.0}',), ('{"itemid":2,"f":2}',)], "value string")
+    assert [r.reason for r in decode_items(rows, sch).collect()] == ["unparsable", "unparsable", "missing_id", None]
+
+
+def test_bad_weights_and_ids_are_rejected(spark):
+    from affinis.operators import ingest
+
+    acts = spark.createDataFrame([("buy", 5.0), ("broken", None)], "name string, weight double")
+    raw = spark.createDataFrame(
+        [("u", "i", None, float("nan")), ("u", "i", "broken", None), ("u", None, "buy", None), (None, "i", "buy", None),
+         ("u", "i", "buy", 3.0), ("u", "i", None, None), ("u", "i", "nope", None), ("u", "i", None, -1.0), ("u", "i", "buy", None),
+         ("u", "i", None, 2.5)], "user_id string, item_id string, action string, rating double").withColumn("ts", F.lit(None).cast("long"))
+    raw = raw.coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    got = [(r.reason, r.weight, r.ts) for r in ingest.resolve_weights(raw, acts, as_of=7).orderBy("at").collect()]
+    assert [g[0] for g in got] == [ingest.REASON_NO_WEIGHT, ingest.REASON_NO_WEIGHT, ingest.REASON_NO_ID, ingest.REASON_NO_ID,
+                                   ingest.REASON_BOTH, ingest.REASON_NEITHER, ingest.REASON_UNKNOWN, ingest.REASON_NON_POSITIVE, None, None]
+    assert [g[1] for g in got[-2:]] == [5.0, 2.5] and {g[2] for g in got} == {7}
+
+
+def test_bad_ids_do_not_abort(spark):
+    df = spark.createDataFrame([("x_12", "1:2"), ("x_abc", "1:x")], "a string, l string")
+    got = df.select(cols.id_after_last("a").alias("a"), cols.parse_id_list("l").alias("l")).collect()
+    assert [(r.a, r.l) for r in got] == [(12, [1, 2]), (None, [1])]
+
+
+def test_register_new_keeps_the_first(spark):
+    old = spark.createDataFrame([("view", 1.0)], "name string, weight double")
+    new = spark.createDataFrame([("buy", 9.0, 2), ("buy", 4.0, 1), ("view", 3.0, 0)], "name string, weight double, seq int")
+    assert [tuple(r) for r in sinks.register_new(old, new, "name", "seq").collect()] == [("buy", 4.0, 1)]
