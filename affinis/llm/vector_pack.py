@@ -167,7 +167,9 @@ def sequences(placed: DataFrame, parts_with_ids: DataFrame) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids, piece_lengths (in
     offset order, for an attention mask that keeps pieces apart)."""
     keys = ["doc_id", "piece", "ids_crc32"]
-    joined = placed.join(parts_with_ids.select(*keys, "ids").dropDuplicates(keys), keys)
+    own = parts_with_ids.select(*(F.col(k).alias(f"_{k}") for k in keys), "ids").dropDuplicates([f"_{k}" for k in keys])
+    joined = placed.join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("piece") == F.col("_piece"))
+                         & (F.col("ids_crc32") == F.col("_ids_crc32")))
     ordered = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     return (joined.groupBy("sequence_id").agg(ordered.alias("p"))
             .select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.length").alias("piece_lengths")))
