@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.operators.prefix import running_agg
-from affinis.session import fanout_partitions
+from affinis.session import fanout_partitions, stored
 
 
 def latest_ratings(log: DataFrame) -> DataFrame:
@@ -159,8 +159,10 @@ def pruned_topk(profiles: DataFrame, items: DataFrame, score: F.Column, k: int,
     users = profiles.withColumns({
         "_p": F.array(*[c.cast("double") for c in user_vec]),
         "_c": (const if const is not None else F.lit(0.0)).cast("double")})
-    users = users.where(whole("_p") & usable_prediction("_c"))
+    # both sides are read by several jobs: one row per user, one per item
+    users = stored(users.where(whole("_p") & usable_prediction("_c")), "topk-users")
     rows = items.withColumn("_q", F.array(*[c.cast("double") for c in item_vec])).where(whole("_q"))
+    rows = stored(rows, "topk-items")
     mean = users.agg(*[F.avg(F.col("_p")[j]).alias(f"m{j}") for j in range(d)]).first()
     blocked, box = _item_blocks(rows, "_q", d, [float(m or 0.0) for m in mean], block_items, max_blocks)
     # at most max_blocks rows: one array, a scalar of the plan

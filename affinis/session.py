@@ -69,6 +69,14 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "affinis-" + name, uuid.uuid4().hex)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several jobs read into the shared folder once, and
+    read it back (unlike a cache it outlives executors and is no session state)."""
+    path = shared_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fanout_partitions(spark: SparkSession) -> int:
     """Partitions for the input of a fan-out step (a join whose output is
     far larger than its input).  AQE sizes partitions by *input* bytes and
