@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import map_rows, utf8, written
+from affinis.llm.common import map_rows, smallest_hashes, utf8, written
 
 #: Bound of the training sample; about 100 bytes a row on the driver.
 MAX_TRAIN = 40_000
@@ -164,6 +164,8 @@ def train(stats: DataFrame, labels: DataFrame, may_train: Column, label: str = "
     condition on doc_id) allows."""
     marks = (labels.where(may_train & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")))
+    n = stats.select("doc_id").join(marks, "doc_id").count()
+    marks = smallest_hashes(marks, "doc_id", max_train, n)
     sample = (stats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_train)
               .select("x", "y").toArrow())
     y = sample.column("y").to_numpy().astype(np.float64)

@@ -48,6 +48,13 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string"))
 
 
+def smallest_hashes(rows: DataFrame, key: str, limit: int, n: int) -> DataFrame:
+    """Of ``n`` rows those among which the ``limit`` smallest hashes of ``key``
+    are, about twice as many: filtered in place, before a sort gathers them."""
+    share = (2 * limit + 1000) / max(n, 1)
+    return rows if share >= 1 else rows.where(F.xxhash64(key) <= int(share * 2**64) - 2**63)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -86,4 +93,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["F", "arrow_schema", "crc_of_id", "cut_lineage", "fanout_partitions", "item_words",
-           "let", "lower_ascii", "map_rows", "read_table", "shared_scratch", "utf8", "written"]
+           "let", "lower_ascii", "map_rows", "read_table", "shared_scratch", "smallest_hashes", "utf8", "written"]

@@ -118,7 +118,7 @@ def apply_rules(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
     hashes), base_failed, kept."""
     rows = rows.withColumn("rid", F.monotonically_increasing_id())  # of a written table: stable
     frequent = written(frequent_lines(rows, min_docs, min_share).select("host", "line"), "frequent-lines")
-    few = frequent.limit(broadcast_lines + 1).count() <= broadcast_lines
+    few = frequent.count() <= broadcast_lines
     pairs = rows.select("rid", F.coalesce("host", F.lit("")).alias("host"),
                         F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     pairs = pairs.select("rid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("n"))

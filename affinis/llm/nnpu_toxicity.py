@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import ITEM_BYTES, map_rows, utf8
+from affinis.llm.common import ITEM_BYTES, map_rows, smallest_hashes, utf8
 
 #: Bounds of the training samples (documents) and of the vocabulary.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 24_000, 4_000
@@ -111,11 +111,13 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column, prior: float |
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     marks = (labels.where(may_train & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")))
-    share = marks.agg(F.avg("y").alias("p")).first().p
+    seen = marks.agg(F.avg("y").alias("p"), F.sum(F.when(F.col("y") == 1, 1)).alias("n")).first()
+    share = seen.p
     share = min(max(float(share or 0.0), 0.0), 1.0)
     ids = docs.select(F.col(key).cast("long").alias("doc_id")).where(may_train).where("doc_id is not null")
-    p_ids = [r.doc_id for r in marks.where("y = 1").orderBy(*order).limit(max_positive).collect()]
-    u_ids = [r.doc_id for r in ids.distinct().orderBy(*order).limit(max_unlabelled).collect()]
+    n_ids = ids.count()
+    p_ids = [r.doc_id for r in smallest_hashes(marks.where("y = 1"), "doc_id", max_positive, seen.n or 0).orderBy(*order).limit(max_positive).collect()]
+    u_ids = [r.doc_id for r in smallest_hashes(ids, "doc_id", max_unlabelled, n_ids).distinct().orderBy(*order).limit(max_unlabelled).collect()]
     never = Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if not p_ids or not u_ids:
         return never

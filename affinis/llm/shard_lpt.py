@@ -11,7 +11,7 @@ Slots number a shard's rows from 0 without gaps.  Rows are spread over cells
 (shard, hash of the row), counted per cell, and numbered within their cell from
 its start, so a group with a third of all rows is numbered by many tasks.
 
-Null texts form one group of size 1 a row, apart from empty texts; equal rows
+Null and empty texts form one group of size 1 a row; equal rows
 are kept, each with its slot; an empty table gives no rows; columns of the
 input with other names are not read.
 """
@@ -71,7 +71,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.sha2(body, 256), F.lit("null")).alias("group_key")), "shard-rows")
+        F.sha2(F.coalesce(body, F.lit("")), 256).alias("group_key")), "shard-rows")
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("bytes"))
     placed = assign_groups(written(groups, "shard-groups"), shards)
     joined = rows.join(placed.select("group_key", "shard"), "group_key").drop("group_key")

@@ -68,14 +68,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): XXH64 of the text, its fingerprint as a signed long."""
 
     def rows(batch: dict) -> dict:
         fps = np.array([fingerprint(t, words) for t in batch["t"]], np.uint64).view(np.int64)
-        return {"doc_id": batch["k"], "fp": fps}
+        return {"doc_id": batch["k"], "text_hash": batch["h"], "fp": fps}
 
-    picked = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    return map_rows(picked, rows, "doc_id long, fp long")
+    body = F.col(text).cast("string")
+    picked = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(body).alias("h"), body.alias("t"))
+    return map_rows(picked, rows, "doc_id long, text_hash long, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -236,18 +237,19 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                     distance: int = DISTANCE, homes_per_cell: int = HOMES) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``."""
+    """doc_id, text_hash, fp, component_id and root (the component's smallest
+    fingerprint) for every row of ``docs``."""
     prints = written(fingerprints(docs, key, text, words), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
     tree = written(connected(links(classes, distance, homes_per_cell)), "components")
     tied = tree.union(tree.select(F.col("root").alias("node"), "root").distinct()).distinct()
     grouped = tied.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "rep")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
+    by_fp = grouped.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
     final = classes.join(by_fp, "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
     # written first: the join then has two plain sides, so that a hot fingerprint's rows can be split
-    return prints.join(written(final, "class-components"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(written(final, "class-components"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def hex_digits(fp: Column) -> Column:

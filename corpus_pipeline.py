@@ -36,11 +36,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: its smallest doc_id (one
-    row of it, should the id repeat)."""
+    text of it and one row, should the id repeat or be null)."""
     found = written(simhash.near_components(docs), "near-components")
-    stays = found.select(F.col("component_id").alias("_k")).distinct()
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")  # rows of one id
+    stays = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .groupBy("root", F.col("component_id").alias("_k")).agg(F.min("text_hash").alias("_t")))
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & (text_hash == F.col("_t")), "left_semi")
+    one = Window.partitionBy("doc_id", text_hash).orderBy("source", "lang", "n_chars")  # repeated rows
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
 
 

@@ -24,7 +24,7 @@ from affinis.llm import (
     simhash,
     vector_pack,
 )
-from affinis.llm.common import read_table
+from affinis.llm.common import read_table, smallest_hashes
 from affinis.llm.tokenizing import TextEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +76,27 @@ def test_pipeline_on_odd_and_empty_documents(spark):
             out.collect()
 
 
+def test_dedup_keeps_different_texts_of_one_id_or_none(spark):
+    import corpus_pipeline
+
+    def text(k):
+        return " ".join(f"w{k}x{i * (k + 3) % 97}" for i in range(80))
+
+    rows = [(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (7, text(3)), (9, text(3)), (3, text(4)), (8, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()]
+    assert len(out) == 5 and set(out) == {rows[i] for i in (0, 1, 2, 3, 6)}
+
+
+def test_smallest_hashes_hold_the_sample(spark):
+    ids = spark.range(50_000).withColumnRenamed("id", "doc_id")
+    for limit in (1, 500, 60_000):
+        some = smallest_hashes(ids, "doc_id", limit, 50_000)
+        first = [[r.doc_id for r in t.orderBy(F.xxhash64("doc_id")).limit(limit).collect()] for t in (some, ids)]
+        assert first[0] == first[1] and some.count() < max(4 * limit + 2000, 50_001)
+
+
 def test_pipeline_decisions_take_effect(spark):
     """Every stage against its operator's own brute force on that stage's input."""
     import corpus_pipeline
