@@ -1,9 +1,9 @@
 """Item feature vectors (FE1–FE5, FE9–FE11, SET2, SET3, AGG4–AGG5).
 
 Vectors are ``array<double>`` for SQL; ``to_ml_vector`` converts at an
-estimator's door.  Vocabularies (labels, categories) are derived from the
-data as a one-row aggregate that Spark evaluates once as a scalar subquery;
-they are bounded by the number of distinct labels, not by the data.
+estimator's door.  Vocabularies (labels, categories) are dictionary tables
+with a dense index, joined to the rows; one-hot and multi-hot rows are sparse
+(the sorted indices), and only the dense form is as wide as the dictionary.
 """
 
 from __future__ import annotations
@@ -45,25 +45,42 @@ def label_vocabulary(items: DataFrame, labels_col: str = "labels") -> DataFrame:
             .distinct().orderBy("label"))
 
 
-def _vocab_scalar(values: DataFrame, col: str) -> Column:
-    return values.select(F.array_sort(F.collect_set(col))).scalar()
+def dictionary(values: DataFrame, col: str) -> DataFrame:
+    """``col`` and its dense 0-based ``index`` by name, numbered by row ranges."""
+    from affinis.operators.prefix import ranged, row_numbers
+
+    order = [F.col(col)]
+    d = row_numbers(ranged(values.select(col).distinct(), [], order), [], order, "index")
+    return d.withColumn("index", (F.col("index") - 1).cast("int"))
+
+
+def sparse_hot(pairs: DataFrame, words: DataFrame, id_col: str, col: str) -> DataFrame:
+    """``(id, indices)``: the sorted dictionary indices of each id's values."""
+    hit = pairs.select(id_col, col).distinct().join(words, col)
+    return hit.groupBy(id_col).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+
+
+def _dense(hot: DataFrame, words: DataFrame, id_col: str, out: str) -> DataFrame:
+    """``indices`` as 0/1 per entry of the dictionary."""
+    none = F.array().cast("array<int>")
+    d = hot.select(id_col, F.coalesce("indices", none).alias("_own"),
+                   words.agg(F.count(F.lit(1)).cast("int")).scalar().alias("_size"))
+    places = F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1)).otherwise(none)
+    return d.select(id_col, F.transform(places, lambda i: F.array_contains("_own", i).cast("int")).alias(out))
 
 
 def one_hot_labels(items: DataFrame, id_col: str = "itemid", labels_col: str = "labels") -> DataFrame:
-    """FE3: 0/1 per vocabulary label (vocabulary sorted) as ``array<int>``."""
-    vocab = _vocab_scalar(items.select(F.explode(label_array(labels_col)).alias("l")), "l")
-    d = items.select(id_col, label_array(labels_col).alias("_ls"), vocab.alias("_vocab"))
-    vec = F.transform("_vocab", lambda v: F.when(F.array_contains(F.col("_ls"), v), 1).otherwise(0))
-    return d.select(id_col, vec.alias("onehot"))
+    """FE3: 0/1 per vocabulary label (vocabulary sorted) as ``array<int>``;
+    one row per row of ``items``, whose ids are unique."""
+    pairs = items.select(id_col, F.explode(label_array(labels_col)).alias("label"))
+    words = dictionary(pairs, "label")
+    d = items.select(id_col).join(sparse_hot(pairs, words, id_col, "label"), id_col, "left")
+    return _dense(d, words, id_col, "onehot")
 
 
 def category_index(items: DataFrame, cat_col: str = "category") -> DataFrame:
     """SET3: distinct categories with a dense 0-based index by name."""
-    cats = items.select(F.col(cat_col).alias("category")).distinct()
-    from pyspark.sql import Window
-
-    # one row per distinct category: a bounded window
-    return cats.withColumn("index", (F.dense_rank().over(Window.orderBy("category")) - 1).cast("int"))
+    return dictionary(items.select(F.col(cat_col).alias("category")), "category")
 
 
 def categories_per_item(pairs: DataFrame, id_col: str = "itemid", cat_col: str = "category") -> DataFrame:
@@ -73,10 +90,10 @@ def categories_per_item(pairs: DataFrame, id_col: str = "itemid", cat_col: str =
 
 def multi_hot(pairs: DataFrame, id_col: str = "itemid", cat_col: str = "category") -> DataFrame:
     """FE5: multi-hot over all categories (sorted), absent categories 0."""
-    vocab = _vocab_scalar(pairs, cat_col)
-    per_item = categories_per_item(pairs, id_col, cat_col).withColumn("_vocab", vocab)
-    vec = F.transform("_vocab", lambda v: F.when(F.array_contains(F.col("categories"), v), 1).otherwise(0))
-    return per_item.select(id_col, vec.alias("multihot"))
+    pairs = pairs.select(id_col, cat_col)
+    words = dictionary(pairs.where(F.col(cat_col).isNotNull()), cat_col)
+    d = pairs.select(id_col).distinct().join(sparse_hot(pairs, words, id_col, cat_col), id_col, "left")
+    return _dense(d, words, id_col, "multihot")
 
 
 def item_dictionary(items: DataFrame, schema: ItemSchema) -> DataFrame:

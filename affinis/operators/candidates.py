@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.prefix import running_agg
+from affinis.operators.prefix import ranged, row_numbers
 from affinis.session import fanout_partitions, stored
 
 
@@ -193,18 +193,15 @@ def pruned_topk(profiles: DataFrame, items: DataFrame, score: F.Column, k: int,
     return rank_predictions(pred, k, "prediction", key, item)
 
 
-def ordered_split(ratings: DataFrame, train_fraction: float = 0.7,
-                  bucket: int = 1 << 20) -> DataFrame:
+def ordered_split(ratings: DataFrame, train_fraction: float = 0.7) -> DataFrame:
     """WIN2: per user, the first ``floor(f · n)`` ratings by (ts, itemid)
-    are ``train``, the rest ``test``.  The per-user count is a partial
-    aggregate and the row number a bucketed running count (skew-safe)."""
-    n = ratings.groupBy("userid").agg(F.count(F.lit(1)).alias("_n"))
-    r = running_agg(ratings.withColumn("_one", F.lit(1)), ["userid"], ["ts", "itemid"],
-                    "_one", "sum", True, bucket, "_rn")
-    r = r.join(n, "userid")
+    are ``train``, the rest ``test``.  Rows are cut by range, so neither a
+    user nor a bulk of equal times gathers in one window."""
+    order = [F.col("ts"), F.col("itemid")]
+    r = row_numbers(ranged(ratings, ["userid"], order), ["userid"], order, "_rn", "_n")
     train = F.col("_rn") <= F.floor(F.col("_n") * F.lit(train_fraction))
     return (r.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
-            .drop("_one", "_rn", "_n"))
+            .drop("_rn", "_n"))
 
 
 def hash_split(ratings: DataFrame, train_percent: int = 80, seed: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.operators.joins import sized_broadcast
-from affinis.operators.prefix import running_agg
+from affinis.operators.prefix import ranged, row_numbers, running_agg
 
 # Rejection reasons of the quarantine.
 REASON_BOTH = "both_action_and_rating"
@@ -61,13 +61,11 @@ def rejected(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col("reason").isNotNull())
 
 
-def batch_ids(df: DataFrame, order: str, size: int, out: str = "batch_id",
-              bucket: int = 1 << 20) -> DataFrame:
-    """FE10: ``floor((row_number − 1) / size)`` over a total order, computed
-    with a bucketed running count instead of one global window."""
-    d = df.withColumn("_one", F.lit(1))
-    d = running_agg(d, [], [order], "_one", "sum", True, bucket, "_rn")
-    return d.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_one", "_rn")
+def batch_ids(df: DataFrame, order: str, size: int, out: str = "batch_id") -> DataFrame:
+    """FE10: ``floor((row_number − 1) / size)`` over a total order, numbered
+    by row ranges instead of one global window, however sparse the ids are."""
+    d = row_numbers(ranged(df, [], [F.col(order)]), [], [F.col(order)], "_rn")
+    return d.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
 
 
 def batch_gate(resolved: DataFrame, batch_col: str = "batch_id") -> DataFrame:

@@ -12,13 +12,19 @@ task.  :func:`running_agg` computes the same value in two levels:
    bucket; no window partition holds more than ``bucket`` ``seq`` values.
 
 The result is offset ⊕ partial, for ``sum`` and ``max`` (both associative).
+
+Where the order has no dense first column (times, scores, names, sparse ids),
+:func:`row_numbers` cuts by *rows* instead: range partitioning by key and
+order gives partitions of about equally many rows whatever their values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.session import fanout_partitions, stored
+
 _AGG = {"sum": F.sum, "max": F.max}
 
 
@@ -50,6 +56,31 @@ def running_agg(df: DataFrame, keys: list[str], order: list[str], value: str,
     return d.withColumn(out, res).drop("_bkt", "_boff", "_part")
 
 
+def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` range partitioned by (keys, order) and written to the shared
+    folder once, with its partition as ``_bkt``: the cut points come from a
+    sample of the rows, so no key and no value fills a partition alone."""
+    cut = df.repartitionByRange(fanout_partitions(df.sparkSession), *[F.col(k) for k in keys], *order)
+    return stored(cut.withColumn("_bkt", F.spark_partition_id()), "ranged")
+
+
+def row_numbers(placed: DataFrame, keys: list[str], order: list[Column], out: str = "row_number",
+                total: str | None = None) -> DataFrame:
+    """1, 2, … per key in ``order`` on the rows of :func:`ranged` (keys not
+    null, ``order`` total inside a key); ``total`` adds the key's row count.
+
+    A window covers one key in one partition; the offsets of a key are one row
+    for each partition it reaches."""
+    counts = placed.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_n").over(own).alias(total)] if total else []
+    offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
+    within = F.row_number().over(Window.partitionBy(*keys, "_bkt").orderBy(*order))
+    return (placed.withColumn("_in", within).join(offsets, [*keys, "_bkt"])
+            .withColumn(out, F.col("_off") + F.col("_in")).drop("_bkt", "_off", "_in"))
+
+
 def asof_sum(events: DataFrame, probes: DataFrame, key: str, seq: str, value: str,
              probe_key: str, probe_seq: str, out: str, bucket: int = 1 << 20,
              include_equal: bool = True) -> DataFrame:

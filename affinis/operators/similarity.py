@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.operators.joins import sized_broadcast
-from affinis.operators.prefix import asof_sum
+from affinis.operators.prefix import asof_sum, ranged, row_numbers
 from affinis.params import Params
 from affinis.session import fanout_partitions
 
@@ -182,9 +182,12 @@ def recommend(state: DataFrame, neigh: DataFrame, n: int | None = None,
           .select("user_id", F.col("other_id").alias("item_id"),
                   (F.col("_num") / F.col("_den")).alias("score")))
     sc = sc.join(state.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(score_rank().desc(), F.col("item_id"))
-    out = sc.withColumn("rank", F.row_number().over(w))
-    return out.filter(F.col("rank") <= n) if n is not None else out
+    order = [score_rank().desc(), F.col("item_id")]
+    if n is None:
+        return row_numbers(ranged(sc, ["user_id"], order), ["user_id"], order, "rank")
+    # with a limit Spark keeps n rows a user before the shuffle
+    top = sc.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+    return top.filter(F.col("rank") <= n)
 
 
 def run(events: DataFrame, mode: str = "exact", params: Params = Params()) -> dict:

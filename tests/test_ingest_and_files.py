@@ -45,7 +45,7 @@ def test_batch_gate_all_or_nothing(spark):
 
 def test_batch_ids_consecutive(spark):
     df = spark.createDataFrame([(s,) for s in [5, 9, 12, 40, 41, 77, 78]], "seq long")
-    got = [r.batch_id for r in ingest.batch_ids(df, "seq", 3, bucket=4).orderBy("seq").collect()]
+    got = [r.batch_id for r in ingest.batch_ids(df, "seq", 3).orderBy("seq").collect()]
     assert got == [0, 0, 0, 1, 1, 1, 2]
 
 

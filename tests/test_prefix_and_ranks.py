@@ -4,9 +4,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from affinis.operators.popular import count_rank
-from affinis.operators.prefix import asof_sum, running_agg
+from affinis.operators.prefix import asof_sum, ranged, row_numbers, running_agg
 
 
 def _rows(n=300, keys=4, seed=7):
@@ -54,3 +55,23 @@ def test_count_rank_with_ties(spark):
     want = {item: rk for rk, (item, _) in
             enumerate(sorted(rows, key=lambda t: (-t[1], t[0])), start=1)}
     assert got == want
+
+
+def test_row_numbers_with_a_hot_key_and_equal_times(spark):
+    """One key with a third of the rows, all at one time; ids sparse over 62 bits."""
+    rnd = random.Random(5)
+    rows = [(0 if i % 3 == 0 else rnd.randrange(1, 40), 7 if i % 2 else rnd.randrange(9), rnd.getrandbits(62)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, ts long, id long")
+    order = [F.col("ts").desc(), F.col("id")]
+    placed = ranged(df, ["k"], order)
+    sizes = [r["count"] for r in placed.groupBy("_bkt").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < len(rows) / 2
+    pdf = pd.DataFrame(rows, columns=["k", "ts", "id"]).sort_values(["ts", "id"], ascending=[False, True])
+    pdf["n"] = pdf.groupby("k").cumcount() + 1
+    want = {(r.k, r.id): (r.n, (pdf.k == r.k).sum()) for r in pdf[:500].itertuples()}
+    got = {(r.k, r.id): (r.n, r.m) for r in row_numbers(placed, ["k"], order, "n", "m").collect()}
+    assert len(got) == len(rows) and all(got[k] == v for k, v in want.items())
+    order = [F.col("id")]
+    every = row_numbers(ranged(df, [], order), [], order).collect()
+    assert [r.row_number for r in sorted(every, key=lambda r: r.id)] == list(range(1, len(rows) + 1))
+    assert row_numbers(ranged(df.limit(0), [], order), [], order).count() == 0
