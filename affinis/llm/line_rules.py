@@ -6,8 +6,10 @@ a line is boilerplate of its host if at least ``min_docs`` documents and
 ``min_share`` of the host's documents hold it.  Such lines are removed, and a
 document is rejected as depleted when under ``min_left`` of its words remain.
 
-Copies must not pass for a template: documents whose two smallest line hashes
-agree count as one document.  Exact copies always do, near copies mostly.
+Copies must not pass for a template: documents with the same set of lines count
+as one document.  Documents that share most lines, but not all, count each:
+pages of a template with little of their own are what the depleted rule is for,
+and by their lines near copies cannot be told from them.
 
 A text's own figures (words, symbols, repeated lines, repeated three-word
 windows) come from one pass over whole texts in Arrow batches.  Line rows are
@@ -96,8 +98,8 @@ def figures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
 
 
 def _signature() -> Column:
-    """What near copies share: the two smallest line hashes."""
-    return F.slice(F.array_sort("lines"), 1, 2)
+    """What exact copies share: the whole set of line hashes."""
+    return F.array_sort("lines")
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:

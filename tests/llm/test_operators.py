@@ -264,6 +264,23 @@ def test_boilerplate_goes_copies_do_not(spark):
     assert out[5].text == f"{word(5, 60)}\n{word(505, 20)}" and out[5].n_chars == len(out[5].text) and out[100].text == rows[40][1]
 
 
+def test_template_of_many_lines_is_found(spark):
+    """Pages of twenty shared and two own lines are as many documents as there
+    are pages, exact copies of one of them are one."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    line = lambda i, n=4: " ".join(f"w{i}x{j}" for j in range(n)).translate(letters)
+    shared = [line(9000 + j) for j in range(20)]
+    rows = [(i, "\n".join([*shared, line(2 * i), line(2 * i + 1)]), "a") for i in range(100)]
+    rows += [(1000 + i, rows[0][1], "a") for i in range(30)]
+    rows += [(2000 + i, "\n".join(line(20000 + 15 * i + j) for j in range(15)), "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {t for _, t, _ in rows}
+    holds = {x: sum(x in t.split("\n") for t in texts) for t in texts for x in t.split("\n")}
+    found = {r.line: r.n_docs for r in line_rules.frequent_lines(line_rules.figures(docs)).collect()}
+    assert found == {line_rules.line_hash(x.encode().split()): n for x, n in holds.items() if n >= 25} and len(found) == 20
+    assert {r.k for r in line_rules.judge(docs).collect() if not r.kept} == {k for k, _, _ in rows if k < 2000}
+
+
 # 6 ---------------------------------------------------------------------------
 
 def brute_components(prints):
