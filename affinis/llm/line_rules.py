@@ -2,9 +2,11 @@
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space runs as one
 space) and hashed.  For every host, the documents that hold a line are counted;
-a line is boilerplate of its host if at least ``min_docs`` documents and
-``min_share`` of the host's documents hold it.  Such lines are removed, and a
-document is rejected as depleted when under ``min_left`` of its words remain.
+a line is boilerplate of its host if at least ``min_docs`` documents hold it,
+and they are ``many_docs`` or ``min_share`` of the host's documents, so a large
+host hides no line that would be boilerplate on a small one.  Such lines are
+removed, and a document is rejected as depleted when under ``min_left`` of its
+words remain.
 
 Copies must not pass for a template: documents with the same set of lines count
 as one document.  Documents that share most lines, but not all, count each:
@@ -38,6 +40,9 @@ SPACES = " \t\n\x0b\x0c\r"  # fixed values
 #: A boilerplate line is in so many documents and such a share of its host's;
 #: documents keep at least this share of their words.
 MIN_DOCS, MIN_SHARE, MIN_LEFT = 5, 0.05, 0.3
+#: In so many documents a line needs no share of its host's: as many as make it
+#: boilerplate on a small host, so the share decides only where this is raised.
+MANY_DOCS = MIN_DOCS
 #: Boilerplate lines that may be broadcast (24 bytes each).
 BROADCAST_LINES = 200_000
 
@@ -102,24 +107,27 @@ def _signature() -> Column:
     return F.array_sort("lines")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
+                   many_docs: int = MANY_DOCS) -> DataFrame:
     """(host, line, n_docs) of boilerplate lines.  A host has at most (lines of
-    a document) / min_share of them."""
+    its documents) / min_docs of them."""
     per_doc = rows.where(F.size("lines") > 0).select(
         F.coalesce("host", F.lit("")).alias("host"), "lines", F.xxhash64(_signature()).alias("sig"))
     docs = per_doc.groupBy("host", "sig").count().groupBy("host").agg(F.count("*").alias("host_docs"))
     seen = per_doc.select("host", "sig", F.explode("lines").alias("line")).distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    return (counts.join(docs, "host").where(F.col("n_docs") >= F.col("host_docs") * min_share)
+    return (counts.join(docs, "host")
+            .where((F.col("n_docs") >= many_docs) | (F.col("n_docs") >= F.col("host_docs") * min_share))
             .select("host", "line", "n_docs"))
 
 
 def apply_rules(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
-                min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+                min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES,
+                many_docs: int = MANY_DOCS) -> DataFrame:
     """Adds to materialised ``figures``: rid, n_removed_words, removed (line
     hashes), base_failed, kept."""
     rows = rows.withColumn("rid", F.monotonically_increasing_id())  # of a written table: stable
-    frequent = written(frequent_lines(rows, min_docs, min_share).select("host", "line"), "frequent-lines")
+    frequent = written(frequent_lines(rows, min_docs, min_share, many_docs).select("host", "line"), "frequent-lines")
     few = frequent.count() <= broadcast_lines
     pairs = rows.select("rid", F.coalesce("host", F.lit("")).alias("host"),
                         F.explode(F.arrays_zip("lines", "line_words")).alias("l"))

@@ -281,6 +281,21 @@ def test_template_of_many_lines_is_found(spark):
     assert {r.k for r in line_rules.judge(docs).collect() if not r.kept} == {k for k, _, _ in rows if k < 2000}
 
 
+def test_large_host_hides_no_boilerplate(spark):
+    """A line in five distinct documents goes from a host of a thousand, one in
+    four stays; a page of such lines is depleted; ``many_docs`` raises the limit."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    line = lambda i, n=60: " ".join(f"w{i}x{j}" for j in range(n)).translate(letters)
+    five, four = line(5000), line(5001)
+    more = {i: [five] * (i < 5) + [four] * (i < 4) for i in range(1000)}
+    rows = [(i, "\n".join([*more[i], line(i, 60 - 50 * (i == 4))]), "a") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.k: r for r in line_rules.judge(docs).collect()}
+    assert {k: r.n_removed_words for k, r in got.items() if r.n_removed_words} == dict.fromkeys(range(5), 60)
+    assert {k for k, r in got.items() if not r.kept} == {4}
+    assert not any(r.n_removed_words for r in line_rules.judge(docs, many_docs=10).collect())
+
+
 # 6 ---------------------------------------------------------------------------
 
 def brute_components(prints):
