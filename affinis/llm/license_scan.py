@@ -92,22 +92,17 @@ class Scanner:
                 while at >= 0:
                     places.add(at - offset)
                     at = line.find(part, at + 1)
-            done = -1
             for a, b in _windows(sorted(places), len(notice) + k, 4 * k + 4):
-                # characters beyond ASCII take up to four bytes: k of them may stand in
-                a, b = max(0, a), min(len(line), b)
-                while a < len(line) and 0x80 <= line[a] < 0xC0:
-                    a += 1
+                # characters beyond ASCII take up to four bytes: k of them may stand in;
+                # no notice starts or ends inside a word, so the window need not either
+                a, b = line.find(b" ", max(0, a)), line.rfind(b" ", 0, max(0, b)) + 1
+                if a < 0:
+                    continue
                 part = line[a:b].decode("utf-8", "ignore")
-                for m in pattern.finditer(part):
-                    if m.end() == m.start():
-                        continue
+                for m in _matches(pattern, part, len(notice) - k):
                     start = a + len(part[:m.start()].encode())
                     first = line.count(b" ", 0, start + 1) - 1
                     last = first + m.group().strip().count(" ")
-                    if first <= done:
-                        continue
-                    done = last
                     errors = sum(m.fuzzy_counts)
                     found.append(Span(label, first, last, errors, 1.0 - errors / len(notice)))
         return _closest(found)
@@ -118,21 +113,38 @@ def _closest(found: list[Span]) -> list[Span]:
     first): notices that differ in little more than k characters match each
     other's places."""
     taken: list[Span] = []
+    held: set[int] = set()
     for s in sorted(found, key=lambda s: (-s.similarity, s.first_word, s.label)):
-        if all(s.last_word < t.first_word or t.last_word < s.first_word for t in taken):
+        own = range(s.first_word, s.last_word + 1)
+        if held.isdisjoint(own):
             taken.append(s)
+            held.update(own)
     return sorted(taken, key=lambda s: s.first_word)
 
 
+def _matches(pattern: regex.Pattern, part: str, least: int) -> list[regex.Match]:
+    """Matches of a window: the best one, then those of the stretches before and
+    after it (the library's own search goes on after the best one only)."""
+    out, stretches = [], [(0, len(part))]
+    while stretches:
+        a, b = stretches.pop()
+        if b - a >= least and (m := pattern.search(part, a, b)):
+            out.append(m)
+            stretches += [(a, m.start()), (m.end(), b)]
+    return out
+
+
 def _windows(places: list[int], length: int, margin: int) -> list[tuple[int, int]]:
-    """Ranges that hold every candidate match, overlapping ones merged."""
+    """Ranges that hold every candidate match, those of near places in one.  A
+    range is at most twice as long as a match, so ranges may overlap."""
     out: list[tuple[int, int]] = []
+    first = None
     for p in places:
-        a, b = p - margin, p + length + margin
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+        if first is not None and p - first <= length:
+            out[-1] = (out[-1][0], p + length + margin)
         else:
-            out.append((a, b))
+            first = p
+            out.append((p - margin, p + length + margin))
     return out
 
 

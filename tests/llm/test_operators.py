@@ -192,6 +192,50 @@ def test_every_window_within_the_edits_is_found():
             assert [s.label for s in found] == [label], "".join(text)
 
 
+def brute_spans(words, notice, k):
+    """(errors, first word, last word) of notices, by edit distance of every run
+    of words; of runs that share words the one with the fewest errors."""
+    found = []
+    for a in range(len(words)):
+        for b in range(a, len(words)):
+            run = " ".join(words[a:b + 1])
+            if len(run) > len(notice) + k:
+                break
+            if len(run) >= len(notice) - k:
+                row = list(range(len(notice) + 1))
+                for i, x in enumerate(run, 1):
+                    left, row[0] = row[0], i
+                    for j, y in enumerate(notice, 1):
+                        left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+                if row[-1] <= k:
+                    found.append((row[-1], a, b))
+    taken = []
+    for e, a, b in sorted(found):
+        if all(b < c or d < a for _, c, d in taken):
+            taken.append((e, a, b))
+    return sorted(taken, key=lambda t: t[1])
+
+
+def test_neighbouring_notices_are_all_found():
+    """Several damaged notices in one text, some before a better one, against brute force."""
+    notice, label = license_scan.NOTICES[1]
+    scan = license_scan.Scanner([(notice, label)], []).scan
+    damaged = "licensd undr the apache license version 2"
+    assert [s.errors for s in scan(" ".join([damaged] * 5 + [notice]))[2]] == [2] * 5 + [0]
+    rng = np.random.default_rng(5)
+    k = license_scan.edits_allowed(notice)
+    for _ in range(40):
+        words = []
+        for _ in range(rng.integers(2, 6)):
+            text = list(notice)
+            for at in rng.choice(np.arange(1, len(text) - 1), rng.integers(0, k + 1), replace=False):
+                if text[at] != " " and text[at - 1] != " " and text[at + 1] != " ":
+                    text[at] = ("q", "")[rng.integers(2)]
+            words += ["apache", "lorem", "license"][:rng.integers(0, 4)] + "".join(text).split()
+        got = [(s.errors, s.first_word, s.last_word) for s in scan(" ".join(words))[2]]
+        assert got == brute_spans(words, notice, k), " ".join(words)
+
+
 # 4, 8 --------------------------------------------------------------------------
 
 def test_flat_trees_walk_like_recursion():
