@@ -215,9 +215,10 @@ def q_unrated_pairs(spark, sf_dir):
 
 @register("unrated_pairs_catalogue")
 def q_unrated_pairs_catalogue(spark, sf_dir):
-    """Of all users' event pairs, those of the cheaper half of the catalogue."""
+    """Of all users' event pairs, inactive users' too, the unrated ones of the whole
+    catalogue, items that nobody rated included."""
     r = _ratings(spark, sf_dir)
-    its = tables.items(spark, sf_dir).where("psize <= 25")
+    its = tables.items(spark, sf_dir)
     return cand.unrated_of(_event_pairs(spark, sf_dir).join(
         cand.catalogue_items(its), "itemid", "left_semi"), r).select("userid", "itemid")
 

@@ -106,3 +106,19 @@ def test_appended_rows_are_seen(spark, tmp_path):
     after = q.REGISTRY["ratings_latest"](spark, str(tmp_path)).agg(F.max("userid"), F.count("*")).first()
     assert after[1] == before[1] + 1 and after[0] == 10**6
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_unrated_pairs_of_the_whole_catalogue(spark):
+    """Every event pair with a catalogue item, less the rated ones, by plain sets."""
+    from affinis.plans.queries import q_unrated_pairs, q_unrated_pairs_catalogue
+    from affinis.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    number = lambda x: int(x) if x is not None and str(x).isdigit() else None
+    given = {(number(r.user_id), number(r.item_id)) for r in tables.interactions_raw(spark, sf).collect()}
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    rated = {(r.userid, r.itemid) for r in tables.ratings(spark, sf).collect()}
+    want = {p for p in given if p[1] in parts} - rated
+    got = [tuple(r) for r in q_unrated_pairs_catalogue(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert want > {tuple(r) for r in q_unrated_pairs(spark, sf).collect()}
