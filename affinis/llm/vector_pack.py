@@ -6,8 +6,8 @@ piece goes only where all three hold.  Documents longer than a sequence are cut
 into full pieces and a rest; nothing else is cut.
 
 Pieces are dealt by hash into groups of about ``group_sequences`` sequences, so
-the number of groups follows the tokens and a group's size does not; every
-group is packed by one task, and only its last sequences can stay unfilled on
+the number of groups follows the tokens and a group's size does not: equal
+pieces are counted and dealt in lots of ``COPIES``.  Every group is packed by one task, and only its last sequences can stay unfilled on
 its account.  Within a group the pieces go in descending length (ties by
 doc_id, piece, checksum: the result does not depend on the order of rows).
 
@@ -32,6 +32,9 @@ from affinis.llm.tokenizing import encoder
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
+#: Equal pieces that go to one group together.
+COPIES = 64
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -143,6 +146,7 @@ def place(parts: DataFrame, cap: Capacity = Capacity(), group_sequences: int = 2
     names = [f.name for f in arrow]
 
     def pack_group(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())))
         cols = {c: table.column(c).to_pandas().to_numpy() for c in ("length", "piece", "ids_crc32")}
         doc = table.column("doc_id").to_pandas().fillna(-1).to_numpy()
         order = np.lexsort((cols["ids_crc32"], cols["piece"], doc, -cols["length"]))
@@ -158,7 +162,10 @@ def place(parts: DataFrame, cap: Capacity = Capacity(), group_sequences: int = 2
             + [pa.array(key[0].as_py() * (1 << 32) + bins[by_bin]), pa.array(ends - length[by_bin] - base)],
             schema=arrow)
 
-    grouped = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    counted = parts.groupBy(*names[:5]).agg(F.count("*").alias("n"))
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int"))))
+    grouped = lots.select(*names[:5], F.least(F.lit(COPIES), F.col("n") - F.col("lot") * COPIES).alias("copies"),
+                          F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "lot"), F.lit(groups)).alias("g"))
     return (grouped.repartition(max(1, min(groups, fanout_partitions(parts.sparkSession))), "g")
             .groupBy("g").applyInArrow(pack_group, PLACED))
 

@@ -473,6 +473,18 @@ def test_packing_is_whole_and_sequences_can_be_made(spark):
     assert sum(len(r.ids) for r in made) == parts.agg(F.sum("length")).first()[0]
 
 
+def test_equal_pieces_are_dealt_over_groups(spark):
+    """Three thousand equal rows, ids null or not, do not gather in one group."""
+    rows = [(None, 0, 0, 64, 7)] * 3000 + [(5, 0, 0, 64, 8)] * 3000 + [(i, 0, 0, 1 + i % 60, i) for i in range(100, 400)]
+    parts = spark.createDataFrame(rows, vector_pack.PIECE)
+    cap = vector_pack.Capacity(64, 64, 64 * 64)
+    placed = [sorted(map(tuple, vector_pack.place(p, cap, group_sequences=100).fillna(-1).collect()))
+              for p in (parts, parts.orderBy(F.desc("ids_crc32")))]
+    assert placed[0] == placed[1] and [p[:5] for p in placed[0]] == sorted((-1 if r[0] is None else r[0], *r[1:]) for r in rows)
+    sizes = np.unique([p[5] >> 32 for p in placed[0]], return_counts=True)[1]
+    assert sizes.size > 30 and sizes.max() < 600
+
+
 # 10 --------------------------------------------------------------------------
 
 def brute_contamination(docs, benchmark, n=13):
