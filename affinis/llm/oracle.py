@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, written apart from them.
 
 The others are tested in ``tests/llm`` against brute force, round trips and
-held-out labels: sharding (a heap), fuzzy search, trees, SimHash (XXH64),
+held-out labels: spelling groups (crc32), sharding (a heap), fuzzy search, trees, SimHash (XXH64),
 tokenizers, non-negative learning, best fit, and the pipeline.
 """
 
@@ -86,5 +86,43 @@ SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM b
 """
 
 
+_OP12 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id
+         GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM both JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+         WHERE 100 * i >= 85 * (s.n + t.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN size USING (doc_id)
+"""
+
+_OP13 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256.0::double * x::double)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id AS id, list_dot_product(a.q, v.q)::bigint AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": _OP1, "op5_line_rules": _OP5, "op10_decontaminate": _OP10}
+    return {"op1_preference_format": _OP1, "op5_line_rules": _OP5, "op10_decontaminate": _OP10,
+            "op12_bottomk_components": _OP12, "op13_hard_negatives": _OP13}

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from affinis.llm import (
     bitpack,
+    bottomk,
     boosted_quality,
     chat_format,
     decontaminate,
+    hard_negatives,
     license_scan,
     line_rules,
     nnpu_toxicity,
     shard_lpt,
     simhash,
+    spelling,
     vector_pack,
 )
 from affinis.llm.common import crc_of_id, read_table
@@ -89,6 +92,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read_table(spark, sf_dir, "documents"))
+
+
+def op12_bottomk_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_sets(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", moved))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,4 +115,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_preference_format, op2_lpt_shards, op3_license_notices, op4_quality_trees, op5_line_rules,
-        op6_simhash_components, op7_packed_ids, op8_nnpu_toxicity, op9_vector_packing, op10_decontaminate, pipeline)}
+        op6_simhash_components, op7_packed_ids, op8_nnpu_toxicity, op9_vector_packing, op10_decontaminate,
+        op11_spelling_groups, op12_bottomk_components, op13_hard_negatives, pipeline)}
