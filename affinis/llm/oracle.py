@@ -92,9 +92,9 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
       FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
 size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id
          GROUP BY x.doc_id, y.doc_id),
-link AS (SELECT a, b FROM both JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+link AS (SELECT a, b FROM shared JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
          WHERE 100 * i >= 85 * (s.n + t.n - i)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
