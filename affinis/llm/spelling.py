@@ -4,7 +4,7 @@ Words are counted over whole texts and every pair of words that differ by one
 inserted, deleted or replaced code point is found:
 
 * Bigrams are ordered by how many words hold them, rarest first.  A word's
-  *prefix* is its first three bigrams in that order and all that tie with the
+  *prefix* is its first three bigrams in that order and any that equal the
   third.  Its two *pivots* are disjoint bigrams of the prefix with the least
   total of word counts, chosen by dynamic programming over their places.
 * One edit leaves one of a word's two disjoint pivots whole.  Of two near
@@ -13,9 +13,14 @@ inserted, deleted or replaced code point is found:
   are looked up among the prefixes of all other words.
 * Position limits: the edit lies left or right of the surviving pivot.  If
   right, both words agree up to the pivot, which stands at one place in both;
-  if left, they agree from the pivot on, at one distance from the end.  The
-  lookup joins on that place and up to ``CONTEXT`` agreeing code points, which
-  is an equi-join with short lists; ``levenshtein`` verifies inside the join.
+  if left, they agree from the pivot on, at one distance from the end.  Where
+  that leaves under ``PLAIN`` agreeing code points, the other side of the pivot
+  is halved: the edit spares one half, which agrees too.  The lookup is an
+  equi-join on place and agreeing code points, with short lists, and
+  ``levenshtein`` verifies inside it.
+* A pair is found once: by the pivots of the word whose prefix ends first, by
+  the second pivot only where the first does not stand, on the right only where
+  the left does not agree.  No pairs need to be made distinct.
 
 A word's *form* is its near word of largest count if that is ``ratio`` times
 its own; roots follow forms (each step multiplies the count by the ratio, so
@@ -40,8 +45,9 @@ from pyspark.sql import functions as F
 from affinis.llm.common import LOWER_BYTES, arrow_schema, utf8, written
 
 MIN_LENGTH, MIN_COUNT, RATIO, DAMAGE = 7, 2, 10, 31  # fixed values of the contract
-#: Code points beside a pivot that the lookup compares.
-CONTEXT = 16
+#: Agreeing code points, pivot included, that make a key by themselves; code
+#: points of one stretch that a key takes at most.
+PLAIN, CONTEXT = 5, 16
 #: Distinct words a task holds before it hands its counts on.
 HELD_WORDS = 200_000
 #: Steps of pointer jumping: 2^6 forms in a row, each of ten times the count.
@@ -100,23 +106,54 @@ def pivots(places: list[int], cost: list[int]) -> tuple[int, int]:
     return pair
 
 
-def signature(word: str, held_by: dict[str, int]) -> tuple[list[int], tuple[int, int]]:
-    """Places of a word's prefix, and its two pivots."""
+def signature(word: str, held_by: dict[str, int]) -> tuple[list[int], tuple[int, int], int]:
+    """Places of a word's prefix, its two pivots, and where the prefix ends in the order."""
     grams = [word[i:i + 2] for i in range(len(word) - 1)]
-    order = sorted((held_by[g], g) for g in grams)
-    last = order[2]
-    places = [i for i, g in enumerate(grams) if (held_by[g], g) <= last]
-    return places, pivots(places, [held_by[grams[i]] for i in places])
-
-
-def lookup_rows(words: DataFrame) -> DataFrame:
-    """For every prefix bigram of every word the two keys under which it is
-    found: agreeing left of it (place from the start) or right of it (from the end)."""
+    last = sorted(held_by[g] for g in grams)[2]
+    places = [i for i, g in enumerate(grams) if held_by[g] <= last]
+    return places, pivots(places, [held_by[grams[i]] for i in places]), last
+
+
+def keys_at(word: str, p: int, lengths: Iterable[int]) -> Iterator[tuple[str, int, str]]:
+    """(kind, parted, key) under which a bigram at place ``p`` is looked up by
+    words of the ``lengths``.  Kinds: agreement left (L) or right (R) of it, with
+    the first (A) or last (B) half of the other side; ``parted`` is the number
+    of code points that A takes from the start."""
+    size = len(word)
+    if p + 2 >= PLAIN:
+        yield "L", 0, f"L{p} {word[max(0, p - CONTEXT):p + 2]}"
+    else:
+        for own in lengths:
+            a = (own - p - 2) // 2
+            b = own - p - 2 - a
+            yield "LA", p + 2 + a, f"LA{own} {p} {word[:p + 2 + min(a, CONTEXT)]}"
+            yield "LB", p + 2 + a, f"LB{own} {p} {word[:p + 2]} {word[size - min(b, CONTEXT):] if b else ''}"
+    rest = size - p
+    if rest >= PLAIN:
+        yield "R", 0, f"R{rest} {word[p:p + 2 + CONTEXT]}"
+    else:
+        for own in lengths:
+            a = (own - rest) // 2
+            b = own - rest - a
+            yield "RA", a, f"RA{own} {rest} {word[:min(a, CONTEXT)]} {word[p:]}"
+            yield "RB", a, f"RB{own} {rest} {word[max(0, p - min(b, CONTEXT)):]}"
+
+
+def gram_ranks(words: DataFrame) -> dict[str, int]:
+    """Bigrams numbered by how many words hold them, ties in code-point order.
+    Letters of 90 kinds: at most 8,100 bigrams reach the driver."""
     grams = words.select("word", F.explode(F.array_distinct(F.expr(
         "transform(sequence(1, char_length(word) - 1), i -> substring(word, i, 2))"))).alias("g"))
-    # letters of 90 kinds: at most 8,100 bigrams
-    held_by = {r.g: r.n for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    schema = "right boolean, place int, context string, word string, n long, pivot boolean"
+    counted = grams.groupBy("g").agg(F.count("*").alias("n")).collect()
+    return {r.g: k for k, r in enumerate(sorted(counted, key=lambda r: (r.n, r.g)))}
+
+
+def lookup_rows(words: DataFrame, ranks: dict[str, int], own: bool) -> DataFrame:
+    """Keys of every word: with ``own`` those of its pivots, else those under
+    which words of its length, one less or one more find its prefix."""
+    from xxhash import xxh64_intdigest
+
+    schema = "key long, last int, word string, n long" + (", place int, other_place int, kind string, parted int" if own else "")
     arrow = arrow_schema(words.sparkSession, schema)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,28 +162,42 @@ def lookup_rows(words: DataFrame) -> DataFrame:
                 part = batch.slice(at, 4096)
                 out: list[tuple] = []
                 for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    places, chosen = signature(word, held_by)
-                    for p in places:
-                        out.append((False, p, word[max(0, p - CONTEXT):p + 2], word, n, p in chosen))
-                        out.append((True, len(word) - p, word[p:p + 2 + CONTEXT], word, n, p in chosen))
+                    places, chosen, last = signature(word, ranks)
+                    size = len(word)
+                    if own:
+                        for p, before in ((chosen[0], None), (chosen[1], chosen[0])):
+                            for kind, parted, key in keys_at(word, p, (size,)):
+                                out.append((xxh64_intdigest(key) - (1 << 63), last, word, n, p, before, kind, parted))
+                    else:
+                        for p in places:
+                            for _, _, key in keys_at(word, p, (size - 1, size, size + 1)):
+                                out.append((xxh64_intdigest(key) - (1 << 63), last, word, n))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return words.select("word", "n").mapInArrow(rows, schema)
 
 
+#: Agreement left of a pivot at place {p}, and from it on.
+_LEFT = "substring(word, 1, {p} + 2) = substring(other, 1, {p} + 2)"
+_RIGHT = "right(word, char_length(word) - {p}) = right(other, char_length(word) - {p})"
+_PARTED = "left(word, parted) = left(other, parted)"
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, other, other_n): every ordered pair of words one edit apart."""
-    rows = written(lookup_rows(words), "spelling-lookups")
-    own = rows.where("pivot").select("right", "place", "context", "word", "n")
-    other = rows.select("right", "place", "context", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    found = own.join(other, ["right", "place", "context"]).where(
-        (F.col("word") != F.col("other"))
-        & (F.abs(F.char_length("word") - F.char_length("other")) <= 1)
-        & (F.levenshtein("word", "other", 1) == 1))
-    both = found.select("word", "other", "other_n").union(
-        found.select(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")))
-    return both.distinct()
+    """(word, n, other, other_n): every pair of words one edit apart, once."""
+    ranks = gram_ranks(words)
+    own = lookup_rows(words, ranks, True)
+    other = lookup_rows(words, ranks, False).select(
+        "key", F.col("last").alias("other_last"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    left, right = _LEFT.format(p="place"), _RIGHT.format(p="place")
+    first = f"({_LEFT.format(p='other_place')} OR {_RIGHT.format(p='other_place')})"
+    return own.join(other, "key").where(
+        "(last < other_last OR (last = other_last AND word < other)) AND abs(char_length(word) - char_length(other)) <= 1 "
+        f"AND CASE WHEN startswith(kind, 'L') THEN {left} AND (kind <> 'LB' OR NOT {_PARTED}) "
+        f"ELSE {right} AND NOT {left} AND (kind <> 'RB' OR NOT {_PARTED}) END "
+        f"AND (other_place IS NULL OR NOT {first}) AND levenshtein(word, other, 1) = 1"
+    ).select("word", "n", "other", "other_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -165,7 +216,10 @@ def group_spellings(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     if min_length < 4 or ratio < 2:
         raise ValueError("words need three bigrams and forms a larger count")
     words = written(words_of(docs, key, text, min_length, min_count), "spelling-words")
-    near = near_words(words).groupBy("word").agg(
+    found = near_words(words)
+    both = F.array(F.struct("word", "other", "other_n"),
+                   F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")))
+    near = found.select(F.explode(both).alias("p")).select("p.*").groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("top"))
     linked = written(words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),

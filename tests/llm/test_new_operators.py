@@ -110,19 +110,30 @@ def test_pivots_are_the_cheapest_disjoint_pair(places, data):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abcd", min_size=7, max_size=11), st.integers(0, 10), st.sampled_from("abcdx"), st.integers(0, 2))
-def test_a_pivot_of_one_word_stands_in_the_prefix_of_its_near_word(word, at, letter, kind):
+@given(st.text("abcd", min_size=7, max_size=11), st.integers(0, 10), st.sampled_from("abcdx"), st.integers(0, 2), st.data())
+def test_a_pivot_of_one_word_stands_in_the_prefix_of_its_near_word(word, at, letter, kind, data):
     at %= len(word)
     other = [word[:at] + word[at + 1:], word[:at] + letter + word[at:], word[:at] + letter + word[at + 1:]][kind]
     if not one_edit(word, other) or len(other) < 7:
         return
-    held = Counter(g for w in (word, other) for g in {w[i:i + 2] for i in range(len(w) - 1)})
-
-    def keys(w, places):
-        return {(False, p, w[max(0, p - 16):p + 2]) for p in places} | {(True, len(w) - p, w[p:p + 18]) for p in places}
-
-    (pre_a, piv_a), (pre_b, piv_b) = spelling.signature(word, held), spelling.signature(other, held)
-    assert keys(word, piv_a) & keys(other, pre_b) or keys(other, piv_b) & keys(word, pre_a)
+    grams = sorted({g for w in (word, other) for g in (w[i:i + 2] for i in range(len(w) - 1))})
+    ranks = {g: i for i, g in enumerate(data.draw(st.permutations(grams)))}
+    (pre_a, piv_a, last_a), (pre_b, piv_b, last_b) = spelling.signature(word, ranks), spelling.signature(other, ranks)
+    if (last_b, other) < (last_a, word):
+        word, other, piv_a, pre_b = other, word, piv_b, pre_a
+    asked = {k for p in piv_a for *_, k in spelling.keys_at(word, p, (len(word),))}
+    size = len(other)
+    assert asked & {k for p in pre_b for *_, k in spelling.keys_at(other, p, (size - 1, size, size + 1))}
+
+
+def test_every_pair_is_found_once(spark):
+    rng = random.Random(4)
+    words = {"".join(rng.choice("aab") for _ in range(rng.randrange(7, 10))) for _ in range(150)}
+    words |= {w[:i] + w[i + 1:] for w in sorted(words)[:40] for i in range(len(w)) if len(w) > 7}
+    words |= {"x" * 40 + w for w in sorted(words)[:30]} | {w + "y" * 40 for w in sorted(words)[:30]}
+    df = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
+    found = Counter(tuple(sorted((r.word, r.other))) for r in spelling.near_words(df).collect())
+    assert set(found) == {(a, b) for a in words for b in words if a < b and one_edit(a, b)} and set(found.values()) == {1}
 
 
 # 12 --------------------------------------------------------------------------
