@@ -216,20 +216,29 @@ def test_bottomk_loses_no_link_of_crowded_lists(spark, monkeypatch):
 
 def test_union_sketch_is_the_bottom_of_the_union():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        pool = np.unique(rng.integers(0, 2 ** 63, 400).astype(np.uint64))
-        core = rng.choice(pool, rng.integers(1, 200), replace=False)
-        a, b = (np.unique(np.r_[core, rng.choice(pool, rng.integers(0, 30), replace=False)]) for _ in range(2))
-        rows = [np.full((1, bottomk.K), bottomk._PAD) for _ in range(2)]
-        for r, s in zip(rows, (a, b), strict=True):
-            r[0, :min(bottomk.K, s.size)] = s[:bottomk.K]
-        got = bottomk.overlaps(*rows, np.array([a.size]), np.array([b.size]), 85)[0]
+    sets, size = [], 1200
+    for _ in range(60):
+        pool = np.unique(rng.integers(-2 ** 31, 2 ** 31, size))
+        core = rng.choice(pool, rng.integers(1, size - 100), replace=False)
+        sets += [np.unique(np.r_[core, rng.choice(pool, rng.integers(0, 120), replace=False)]) for _ in range(2)]
+    held = np.full((len(sets), bottomk.K), bottomk._PAD)
+    for row, s in zip(held, sets, strict=True):
+        row[:min(bottomk.K, s.size)] = s[:bottomk.K]
+    n = np.array([s.size for s in sets])
+    passed = set(zip(*bottomk.possible(held, held, n, n, 85), strict=True))
+    near = 0
+    for i in range(0, len(sets), 2):
+        a, b = sets[i], sets[i + 1]
+        got = bottomk.overlaps(held[i:i + 1], held[i + 1:i + 2], n[i:i + 1], n[i + 1:i + 2], 85)[0]
         both, union = np.intersect1d(a, b), np.union1d(a, b)
         found = np.isin(union[:bottomk.K], both).sum()
         if max(a.size, b.size) <= bottomk.K:
-            assert (got >= 0) == (100 * both.size >= 85 * union.size)
+            assert (got >= 0) == (100 * both.size >= 85 * union.size) == ((i, i + 1) in passed)
         elif 100 * min(a.size, b.size) >= 85 * max(a.size, b.size):
             assert got == (found if found >= bottomk.NEED else -1)
+        near += got >= 0
+        assert got < 0 or (i, i + 1) in passed
+    assert 5 < near < 55
 
 
 # 13 --------------------------------------------------------------------------
