@@ -48,6 +48,17 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def smallest_hashes(rows: DataFrame, key: str, limit: int, n: int) -> DataFrame:
     """Of ``n`` rows those among which the ``limit`` smallest hashes of ``key``
     are, about twice as many: filtered in place, before a sort gathers them."""
@@ -93,4 +104,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["F", "arrow_schema", "crc_of_id", "cut_lineage", "fanout_partitions", "item_words",
-           "let", "lower_ascii", "map_rows", "read_table", "shared_scratch", "smallest_hashes", "utf8", "written"]
+           "let", "lower_ascii", "map_rows", "read_table", "shared_scratch", "smallest_hashes", "unused", "utf8", "written"]

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import LOWER_BYTES, map_rows, utf8, written
+from affinis.llm.common import LOWER_BYTES, map_rows, unused, utf8, written
 
 _LINE_BYTES = bytes(0x30 if 0x31 <= b <= 0x39 else LOWER_BYTES[b] for b in range(256))
 SYMBOLS = "#*$%&|<>"  # fixed values
@@ -102,6 +102,11 @@ def figures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return map_rows(picked, rows, "k long, host string, text_hash long, " + _FIGURES)
 
 
+def _host() -> Column:
+    """The host as a key; null is a host of its own, not the empty one."""
+    return F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
+
+
 def _signature() -> Column:
     """What exact copies share: the whole set of line hashes."""
     return F.array_sort("lines")
@@ -112,7 +117,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     """(host, line, n_docs) of boilerplate lines.  A host has at most (lines of
     its documents) / min_docs of them."""
     per_doc = rows.where(F.size("lines") > 0).select(
-        F.coalesce("host", F.lit("")).alias("host"), "lines", F.xxhash64(_signature()).alias("sig"))
+        _host(), "lines", F.xxhash64(_signature()).alias("sig"))
     docs = per_doc.groupBy("host", "sig").count().groupBy("host").agg(F.count("*").alias("host_docs"))
     seen = per_doc.select("host", "sig", F.explode("lines").alias("line")).distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
@@ -129,8 +134,7 @@ def apply_rules(rows: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
     rows = rows.withColumn("rid", F.monotonically_increasing_id())  # of a written table: stable
     frequent = written(frequent_lines(rows, min_docs, min_share, many_docs).select("host", "line"), "frequent-lines")
     few = frequent.count() <= broadcast_lines
-    pairs = rows.select("rid", F.coalesce("host", F.lit("")).alias("host"),
-                        F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    pairs = rows.select("rid", _host(), F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     pairs = pairs.select("rid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("n"))
     hits = pairs.join(F.broadcast(frequent) if few else frequent, ["host", "line"])
     removed = hits.groupBy("rid").agg(F.sum("n").alias("n_removed_words"), F.collect_set("line").alias("removed"))
@@ -153,15 +157,16 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
           count: str = "n_chars", **limits) -> DataFrame:
     """Documents that pass, with their boilerplate lines removed; columns as
     they came (``count``, if there, follows the text's new length)."""
+    k, h, t, bad = unused(docs, "_k", "_h", "_t", "_removed")
     verdict = (judge(docs, key, text, host, **limits).where("kept")
-               .select(F.col("k").alias("_k"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"),
-                       F.col("removed").alias("_removed")).dropDuplicates(["_k", "_h", "_t"]))
+               .select(F.col("k").alias(k), F.col("host").alias(h), F.col("text_hash").alias(t),
+                       F.col("removed").alias(bad)).dropDuplicates([k, h, t]))
     body = F.col(text).cast("string")
-    kept = docs.join(verdict, F.col(key).cast("long").eqNullSafe(F.col("_k"))
-                     & F.col(host).cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64(body) == F.col("_t")))
+    kept = docs.join(verdict, F.col(key).cast("long").eqNullSafe(F.col(k))
+                     & F.col(host).cast("string").eqNullSafe(F.col(h)) & (F.xxhash64(body) == F.col(t)))
     names, columns = list(docs.columns), docs.dtypes
     schema = ", ".join(f"`{n}` {t}" for n, t in columns)
-    changed = kept.where(F.size("_removed") > 0)
+    changed = kept.where(F.size(bad) > 0)
 
     def drop_lines(batches):
         import pyarrow as pa
@@ -169,8 +174,8 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(names)}
             texts = []
-            for t, bad in zip(cols[text].to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                gone = set(bad)
+            for t, lost in zip(cols[text].to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                gone = set(lost)
                 texts.append("\n".join(x for x in t.split("\n") if not (
                     (own := utf8(x).translate(_LINE_BYTES).split()) and line_hash(own) in gone)))
             cols[text] = pa.array(texts, cols[text].type)
@@ -178,5 +183,5 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
                 cols[count] = pa.array([len(t) for t in texts], cols[count].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    parted = kept.where(F.size("_removed") == 0).select(*names)
-    return parted.unionByName(changed.select(*names, "_removed").mapInArrow(drop_lines, schema))
+    parted = kept.where(F.size(bad) == 0).select(*names)
+    return parted.unionByName(changed.select(*names, bad).mapInArrow(drop_lines, schema))

@@ -32,7 +32,7 @@ FROM r
 """
 
 _OP5 = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text,
         list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
@@ -46,11 +46,9 @@ held AS (SELECT doc_id, source, line, list_filter(regexp_split_to_array(
         FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM held GROUP BY doc_id),
 norm AS (SELECT doc_id, source, array_to_string(ws, ' ') AS line, sum(len(ws)) AS n FROM held GROUP BY ALL),
-sig AS (SELECT doc_id, source, list_sort(list(left(md5(line), 16)))[1:2] AS sig FROM norm GROUP BY doc_id, source),
-hosts AS (SELECT source, count(DISTINCT sig) AS host_docs FROM sig GROUP BY source),
-freq AS (SELECT n.source, n.line FROM norm n JOIN sig s USING (doc_id) JOIN hosts h ON h.source = n.source
-        GROUP BY n.source, n.line, host_docs
-        HAVING count(DISTINCT sig) >= 5 AND count(DISTINCT sig) >= host_docs * 0.05),
+sig AS (SELECT doc_id, source, list_sort(list(left(md5(line), 16))) AS sig FROM norm GROUP BY doc_id, source),
+freq AS (SELECT n.source, n.line FROM norm n JOIN sig s USING (doc_id)
+        GROUP BY n.source, n.line HAVING count(DISTINCT sig) >= 5),
 gone AS (SELECT doc_id, sum(n)::bigint AS n_removed_words FROM norm JOIN freq USING (source, line) GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(ws)::bigint AS n_words, length(array_to_string(ws, ''))::bigint AS word_chars,

@@ -527,3 +527,15 @@ def test_decontamination_plan_is_native(spark):
     docs, bench = read_table(spark, SF, "documents"), read_table(spark, SF, "benchmark")
     plan = decontaminate.scan(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange", "Join"))
+
+
+def test_clean_keeps_null_hosts_apart_and_takes_any_column_name(spark):
+    line = "the same line of eight words in all\n"
+    rows = [(i, line + ("abcdefghijk"[i] * 5 + " ") * 60, h, i, "x", "y", "z") for i, h in enumerate([None] * 3 + [""] * 3 + ["h"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _k long, _h string, _t string, _removed string")
+    out = {r.k: r.n_removed_words for r in line_rules.judge(docs).collect()}
+    assert out == {i: 8 if i >= 6 else 0 for i in range(11)}
+    assert line_rules.clean(docs).dtypes == docs.dtypes
+    import corpus_pipeline
+
+    assert corpus_pipeline.simhash_dedup(spark, docs.withColumnsRenamed({"_h": "lang", "_k": "n_chars", "_removed": "_n"}), SF).count() > 0
