@@ -199,7 +199,7 @@ def sql_ratings() -> dict[str, str]:
                                       AND r.itemid = TRY_CAST(e.item_id AS INTEGER))""")
     q["unrated_pairs_catalogue"] = with_(
         R_CHAIN + [E_RAW], """SELECT DISTINCT TRY_CAST(e.user_id AS INTEGER) AS userid, TRY_CAST(e.item_id AS INTEGER) AS itemid
-                    FROM e_raw e WHERE TRY_CAST(e.item_id AS INTEGER) IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+                    FROM e_raw e WHERE TRY_CAST(e.item_id AS INTEGER) IN (SELECT p_partkey FROM part)
                       AND NOT EXISTS (SELECT 1 FROM r WHERE r.userid = TRY_CAST(e.user_id AS INTEGER)
                                       AND r.itemid = TRY_CAST(e.item_id AS INTEGER))""")
     q["item_stats"] = with_(

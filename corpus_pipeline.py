@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.llm import boosted_quality, decontaminate, line_rules, simhash, vector_pack
-from affinis.llm.common import crc_of_id, read_table, written
+from affinis.llm.common import crc_of_id, read_table, unused, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,20 +30,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     scored = boosted_quality.score_documents(
         docs, read_table(spark, sf_dir, "labels"), crc_of_id(F.col("doc_id")) % 3 != 1)
     # equal ids may hold different texts: all rows of an id go by its best score
-    good = scored.groupBy("doc_id").agg(F.max("score").alias("s")).where("s >= 0.5").select(F.col("doc_id").alias("_k"))
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    k, = unused(docs, "_k")
+    good = scored.groupBy("doc_id").agg(F.max("score").alias("s")).where("s >= 0.5").select(F.col("doc_id").alias(k))
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col(k)), "left_semi")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: its smallest doc_id (one
     text of it and one row, should the id repeat or be null)."""
+    k, t, n = unused(docs, "_k", "_t", "_n")
     found = written(simhash.near_components(docs), "near-components")
     stays = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("root", F.col("component_id").alias("_k")).agg(F.min("text_hash").alias("_t")))
+             .groupBy("root", F.col("component_id").alias(k)).agg(F.min("text_hash").alias(t)))
     text_hash = F.xxhash64(F.col("text").cast("string"))
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & (text_hash == F.col("_t")), "left_semi")
+    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(k)) & (text_hash == F.col(t)), "left_semi")
     one = Window.partitionBy("doc_id", text_hash).orderBy("source", "lang", "n_chars")  # repeated rows
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    return kept.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
