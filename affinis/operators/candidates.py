@@ -7,7 +7,6 @@ FLT2  active users = distinct users of FLT1
 FLT3  users of the last N rating rows of the log
 FLT4  all users;  SET1 rated items;  SRC9 catalogue items
 JOI4  unrated ones of given pairs (JOI5/JOI6: of catalogue items)
-LIM1  exact pruned top-k over the items a user does not own
 WIN2  per-user ordered train/test split;  WIN3 repeatable hash split
 """
 
@@ -17,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.operators.prefix import ranged, row_numbers
-from affinis.session import fanout_partitions, stored
 
 
 def latest_ratings(log: DataFrame) -> DataFrame:
@@ -97,102 +95,6 @@ def unrated_of(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
     return pairs.join(ratings.select("userid", "itemid"), ["userid", "itemid"], "left_anti")
 
 
-# Blocks of the item side: at least this many items each, at most so many
-# blocks (their bounds, a few numbers per block, go to every task).
-BLOCK_ITEMS, MAX_BLOCKS = 256, 2048
-
-
-def _item_blocks(items: DataFrame, vec: str, d: int, direction: list[float], block_items: int,
-                 max_blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Items with ``_blk``, and one row per block: size and the vectors' box.
-
-    Items are cut at quantiles of their product with ``direction`` (the mean
-    user vector), so that a block's items score alike for the average user.
-    """
-    along = sum((F.col(vec)[j] * F.lit(v) for j, v in enumerate(direction)), F.lit(0.0))
-    keyed = items.withColumn("_along", along)
-    n = keyed.count()
-    cuts = max(1, min(max_blocks, n // block_items))
-    probs = [i / cuts for i in range(1, cuts)]
-    at = keyed.agg(F.percentile_approx("_along", probs, 10 * cuts).alias("q")).first().q if probs else []
-    # a single block is no constant to the optimizer: the join on it stays an equi-join
-    place = F.when(F.col("_along").isNull(), 1).otherwise(0)
-    if at:
-        cut = F.array(*[F.lit(float(x)) for x in sorted(set(at))])
-        place = F.size(F.filter(cut, lambda c: c < F.col("_along")))
-    blocked = keyed.withColumn("_blk", place.cast("int")).drop("_along")
-    box = blocked.groupBy("_blk").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col(vec)[j]) for j in range(d)]).alias("lo"),
-        F.array(*[F.max(F.col(vec)[j]) for j in range(d)]).alias("hi"))
-    return blocked, box
-
-
-def pruned_topk(profiles: DataFrame, items: DataFrame, score: F.Column, k: int, user_vec: list[F.Column],
-                item_vec: list[F.Column], const: F.Column | None = None, block_items: int = BLOCK_ITEMS,
-                max_blocks: int = MAX_BLOCKS, key: str = "userid", item: str = "itemid") -> DataFrame:
-    """LIM1/SRT1: the exact top-k of ``score`` over the items a user does not
-    own, for a score that equals ``const + user_vec · item_vec`` up to
-    rounding, without enumerating users × items.
-
-    Item blocks carry the box that holds their vectors, which bounds a user's
-    scores in a block from both sides.  Taking a user's blocks by descending
-    lower bound until they hold k + (owned items) items, the last lower bound
-    is a threshold that at least k unowned items reach.  Only blocks whose
-    upper bound reaches the threshold are expanded (an equi-join on the block),
-    rows below the threshold are dropped before ranking, and the survivors are
-    ranked exactly (score DESC, item ASC).  Nothing is approximate: a margin
-    covers the rounding of the bounds, and a user for whom no block can be
-    ruled out meets them all.
-
-    Users and items with a null or NaN component have no usable score and are
-    left out, as FLT5 asks.
-    """
-    from affinis.functions.columns import usable_prediction
-    from affinis.operators.hybrid import rank_predictions
-
-    d = len(user_vec)
-    spark = profiles.sparkSession
-
-    def whole(v: str) -> F.Column:
-        return ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-
-    users = profiles.withColumns({
-        "_p": F.array(*[c.cast("double") for c in user_vec]),
-        "_c": (const if const is not None else F.lit(0.0)).cast("double")})
-    # both sides are read by several jobs: one row per user, one per item
-    users = stored(users.where(whole("_p") & usable_prediction("_c")), "topk-users")
-    rows = items.withColumn("_q", F.array(*[c.cast("double") for c in item_vec])).where(whole("_q"))
-    rows = stored(rows, "topk-items")
-    mean = users.agg(*[F.avg(F.col("_p")[j]).alias(f"m{j}") for j in range(d)]).first()
-    blocked, box = _item_blocks(rows, "_q", d, [float(m or 0.0) for m in mean], block_items, max_blocks)
-    # at most max_blocks rows: one array, a scalar of the plan
-    boxes = box.agg(F.collect_list(F.struct("_blk", "n", "lo", "hi")).alias("b")).scalar()
-
-    def side(b: F.Column, low: bool) -> F.Column:
-        pick = F.least if low else F.greatest
-        terms = [pick(F.col("_p")[j] * b["lo"][j], F.col("_p")[j] * b["hi"][j]) for j in range(d)]
-        return sum(terms, F.col("_c"))
-
-    bounds = F.transform("_b", lambda b: F.struct(
-        side(b, True).alias("low"), side(b, False).alias("high"), b["_blk"].alias("blk"), b["n"].alias("n")))
-    met = (users.repartition(fanout_partitions(spark), key).withColumn("_b", boxes)
-           .withColumn("_b", F.sort_array(bounds, False)))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("t"))
-    need = F.lit(k) + F.size("owned")
-    reached = F.aggregate("_b", start, lambda acc, b: F.when(acc["n"] >= need, acc).otherwise(
-        F.struct((acc["n"] + b["n"]).alias("n"), b["low"].alias("t"))))
-    cut = met.withColumn("_r", reached).withColumn("_t", F.when(F.col("_r.n") >= need, F.col("_r.t")))
-    margin = 1e-9 * (F.abs("_t") + F.abs("_c") + F.lit(1.0))
-    cut = cut.withColumn("_t", F.col("_t") - margin)
-    open_blocks = F.filter("_b", lambda b: F.col("_t").isNull() | (b["high"] + 1e-9 * (F.abs(b["high"]) + 1) >= F.col("_t")))
-    pairs = (cut.withColumn("_blk", F.explode(F.transform(open_blocks, lambda b: b["blk"])))
-             .drop("_b", "_r", "_p", "_c").join(blocked.drop("_q"), "_blk"))
-    pred = (pairs.select(key, item, "owned", "_t", score.alias("prediction"))
-            .where(usable_prediction("prediction") & (F.col("_t").isNull() | (F.col("prediction") >= F.col("_t"))))
-            .where(~F.array_contains("owned", F.col(item))).select(key, item, "prediction"))
-    return rank_predictions(pred, k, "prediction", key, item)
-
-
 def ordered_split(ratings: DataFrame, train_fraction: float = 0.7) -> DataFrame:
     """WIN2: per user, the first ``floor(f · n)`` ratings by (ts, itemid)
     are ``train``, the rest ``test``.  Rows are cut by range, so neither a

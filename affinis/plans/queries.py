@@ -25,6 +25,7 @@ from affinis.operators import linear
 from affinis.operators import models
 from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
+from affinis.operators import topk
 from affinis.params import Params
 from affinis.session import shared_scratch
 from affinis.sources import files, sinks, tables
@@ -357,7 +358,7 @@ def _hybrid_ranked(spark, sf_dir, n: int | None = None, users: DataFrame | None
     cf = F.col("item_mean")
     cb = F.col("user_mean") + F.col("psize") / F.lit(base.CONTENT_SCALE)
     w = HYBRID_WEIGHT
-    return r, cand.pruned_topk(
+    return r, topk.pruned_topk(
         prof, item_side, hyb.blend_columns(cf, cb, w), n or Params().hybrid_top_k,
         [F.lit(w), F.lit((1.0 - w) / base.CONTENT_SCALE)], [F.col("item_mean"), F.col("psize")],
         F.col("user_mean") * (1.0 - w))
@@ -416,8 +417,6 @@ def q_final_padded(spark, sf_dir):
 def _eval_inputs(spark, sf_dir):
     """Ordered 70/30 split; stand-in predictions of the test pairs from the
     train part."""
-    # the uncached ratings plan: measured faster for this path than the
-    # session-cached table (see ``_ratings``)
     s = cand.ordered_split(tables.ratings(spark, sf_dir), Params().train_fraction)
     train = s.filter(F.col("split") == "train")
     test = s.filter(F.col("split") == "test")
@@ -507,16 +506,12 @@ def _parts(name: str, n: int) -> list[F.Column]:
 
 def _cf_topk(prof, items, k):
     d = Params().cf_rank
-    return cand.pruned_topk(prof, items, _cf_col(), k, _parts("uf", d), _parts("vf", d))
+    return topk.pruned_topk(prof, items, None, k, _parts("uf", d), _parts("vf", d))
 
 
-def _cb_topk(prof, items, k):
+def _cb_topk(prof, items, k, score=None):
     d = _n_features()
-    return cand.pruned_topk(prof, items, _cb_col(), k, _parts("coef", d), _parts("features", d), F.col("intercept"))
-
-
-def _cf_col():
-    return cols.dot("uf", "vf", Params().cf_rank)
+    return topk.pruned_topk(prof, items, score, k, _parts("coef", d), _parts("features", d), F.col("intercept"))
 
 
 def _cb_col():
@@ -534,7 +529,7 @@ def q_linear_scores(spark, sf_dir):
         "userid", "owned", F.col("user_mean").alias("intercept"),
         F.array((F.col("n_ratings") / F.lit(1000.0)).cast("double"), F.lit(0.001)).alias("coef"))
     items = cand.rated_items(r).join(_features(spark, sf_dir), "itemid")
-    return _cb_topk(prof, items, SERVE_N).select(
+    return _cb_topk(prof, items, SERVE_N, _cb_col()).select(
         "userid", "itemid", "prediction", F.col("rank").cast("int").alias("rank"))
 
 
@@ -595,7 +590,7 @@ def q_hybrid_models(spark, sf_dir):
     """ML11 with the trained models: ALS ⊕ per-user elastic net, top 1000.
     A candidate needs both a factor pair and a coefficient row (inner join)."""
     prof, items = _model_candidates(spark, sf_dir, True, True)
-    return cand.pruned_topk(prof, items, hyb.blend_columns(_cf_col(), _cb_col(), HYBRID_WEIGHT), Params().hybrid_top_k,
+    return topk.pruned_topk(prof, items, None, Params().hybrid_top_k,
                             *models.blended_vectors(Params().cf_rank, _n_features(), HYBRID_WEIGHT))
 
 
