@@ -16,8 +16,10 @@ an empty table gives no rows; whole texts are searched, however long.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,19 @@ NOTICES = (
 )
 
 
+def word_numbers(line: bytes) -> Callable[[int], int]:
+    """The word that the space at a place stands before; the spaces are counted
+    once, when first asked for."""
+    spaces: list[np.ndarray] = []
+
+    def number(at: int) -> int:
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32))
+        return int(np.searchsorted(spaces[0], at, "right")) - 1
+
+    return number
+
+
 @dataclass(frozen=True)
 class Span:
     label: str
@@ -75,15 +90,16 @@ class Scanner:
         """(words, exact base places as (word, label), fuzzy spans)."""
         words = utf8(text).translate(ITEM_BYTES).split()
         line = b" " + b" ".join(words) + b" "
+        word_at = word_numbers(line)
         exact = []
         for phrase, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                exact.append((line.count(b" ", 0, at + 1) - 1, label))
+                exact.append((word_at(at), label))
                 at = line.find(phrase, at + 1)
-        return len(words), exact, self._fuzzy(line)
+        return len(words), exact, self._fuzzy(line, word_at)
 
-    def _fuzzy(self, line: bytes) -> list[Span]:
+    def _fuzzy(self, line: bytes, word_at: Callable[[int], int]) -> list[Span]:
         found = []
         for notice, label, k, parts, pattern in self.notices:
             places = set()
@@ -99,9 +115,9 @@ class Scanner:
                 if a < 0:
                     continue
                 part = line[a:b].decode("utf-8", "ignore")
+                ascii_only = len(part) == b - a
                 for m in _matches(pattern, part, len(notice) - k):
-                    start = a + len(part[:m.start()].encode())
-                    first = line.count(b" ", 0, start + 1) - 1
+                    first = word_at(a + (m.start() if ascii_only else len(part[:m.start()].encode())))
                     last = first + m.group().strip().count(" ")
                     errors = sum(m.fuzzy_counts)
                     found.append(Span(label, first, last, errors, 1.0 - errors / len(notice)))

@@ -539,3 +539,16 @@ def test_clean_keeps_null_hosts_apart_and_takes_any_column_name(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.simhash_dedup(spark, docs.withColumnsRenamed({"_h": "lang", "_k": "n_chars", "_removed": "_n"}), SF).count() > 0
+
+
+def test_scan_of_a_long_text_numbers_words_as_counting_does():
+    scanner = license_scan.Scanner()
+    notice = "Released under the MIT license. Café été. licensd under the apache license version 2! all rights reserved "
+    n, exact, spans = scanner.scan(notice * 200)
+    words = (notice * 200).lower().replace(".", " ").replace("!", " ").split()
+    assert n == len(words)
+    assert sorted(exact) == sorted(
+        (i, label) for phrase, label in license_scan.BASE for p in [phrase.split()]
+        for i in range(len(words)) if words[i:i + len(p)] == p)
+    assert len(spans) == 600 and [s.first_word for s in spans[:3]] == [0, 7, 14]
+    assert all(b.first_word - a.first_word == len(words) // 200 for a, b in zip(spans, spans[3:], strict=False))
