@@ -1,0 +1,189 @@
+"""The maintained similarity store: batches, replays, crashes, compaction, active users."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from affinis.operators import ingest, similarity
+from affinis.params import Params
+from affinis.sources.tables import actions_table, interactions_raw
+from affinis.streaming.learner import active_from_log
+from affinis.streaming.store import SCHEMAS, SimilarityStore, stream_to_store
+
+from conftest import SF001
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    """Resolved events of sf0.001; one user holds a third of them."""
+    raw = interactions_raw(spark, SF001)
+    heavy = raw.withColumn("user_id", F.when(F.col("seq") % 3 == 0, F.lit("hot")).otherwise(F.col("user_id")))
+    return ingest.resolve_weights(heavy, actions_table(spark))
+
+
+def _batches(events, n):
+    return [events.where(F.pmod(F.xxhash64("seq"), F.lit(n)) == i) for i in range(n)]
+
+
+def _rows(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def _want(events):
+    state = similarity.user_item_state(ingest.valid(events))
+    return (_rows(similarity.item_counts(state)),
+            _rows(similarity.pair_counts(state).select("item_a", "item_b", "pair_count")))
+
+
+def _got(store, m=None):
+    items, pairs = store.counts(m)
+    return _rows(items), _rows(pairs.where("pair_count <> 0"))
+
+
+def test_batches_in_any_order_equal_the_batch_counts(spark, events, tmp_path):
+    """Three batches out of seq order, a hot user cut into blocks, levels merged on the way."""
+    store = SimilarityStore(spark, str(tmp_path), buckets=4, fan=2, params=Params().with_(pair_block_items=16))
+    for i, batch in enumerate(_batches(events, 3)):
+        store.apply(batch, i)
+    assert _got(store) == _want(events)
+    assert [p["level"] for p in store.manifest()["tables"]["deltas"]] == [1, 0]
+    assert store.table("quarantine").count() == ingest.rejected(events).count()
+    state = store.table("state").select("user_id", "item_id", "w", "last_seq")
+    final = similarity.user_item_state(ingest.valid(events))
+    assert _rows(state.drop("last_seq")) == _rows(final.drop("last_seq"))
+    assert not store.files.names("work")
+
+
+def test_a_hot_user_spreads_over_many_tasks(spark, events, tmp_path):
+    """The rows of the user with a third of all events, by task of the pair join."""
+    store = SimilarityStore(spark, str(tmp_path), params=Params().with_(pair_block_items=8))
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        fold = (ingest.valid(events).where("user_id = 'hot'").groupBy("user_id", "item_id")
+                .agg(F.max("weight").alias("new"), F.max("seq").alias("last_seq"))
+                .withColumns({"old": F.lit(0.0), "bucket": F.lit(0)}))
+        by_task = store._pair_rows(fold).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        items = fold.count()
+        assert sum(r["count"] for r in by_task) == items * (items - 1) // 2
+        assert len(by_task) > 8 and max(r["count"] for r in by_task) < items * items // 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_replayed_batch_and_repeated_events_change_nothing(spark, events, tmp_path):
+    store = SimilarityStore(spark, str(tmp_path), buckets=4)
+    first, second = _batches(events, 2)
+    store.apply(first, 0)
+    m = store.apply(second, 1)
+    assert store.apply(second, 1) == m  # the same id again: skipped
+    before = _got(store)
+    store.apply(second, 2)  # the same events under a new id: no weight rises
+    assert _got(store) == before == _want(events)
+    store.apply(events.limit(0), 3)
+    assert store.manifest()["last_batch"] == 3 and _got(store) == before
+
+
+def test_crash_between_write_and_swap(spark, events, tmp_path, monkeypatch):
+    """Parts of a lost attempt count nowhere; the retry gives the right sums; vacuum clears them."""
+    store = SimilarityStore(spark, str(tmp_path), buckets=4)
+    first, second = _batches(events, 2)
+    store.apply(first, 0)
+    was = _got(store)
+    with monkeypatch.context() as lost:
+        lost.setattr(store, "_commit", lambda change: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            store.apply(second, 1)
+    again = SimilarityStore(spark, str(tmp_path))
+    assert again.manifest()["last_batch"] == 0 and _got(again) == was
+    again.apply(second, 1)
+    assert _got(again) == _want(events)
+    assert len(store.files.names("deltas")) == 3
+    assert again.vacuum() > 0 and len(store.files.names("deltas")) == 2 and _got(again) == _want(events)
+
+
+def test_read_during_compaction_and_two_writers(spark, events, tmp_path, monkeypatch):
+    """A reader of the manifest before a compaction reads on; a batch that commits
+    while a compaction is writing is kept by its swap."""
+    store = SimilarityStore(spark, str(tmp_path), buckets=4, fan=99)
+    parts = _batches(events, 3)
+    store.apply(parts[0], 0), store.apply(parts[1], 1)
+    old, want_old = store.manifest(), _got(store)
+    lazily = store.similarity(old)
+    inner, once = store._commit, []
+
+    def meanwhile(change):
+        if not once:
+            once.append(1)
+            monkeypatch.setattr(store, "_commit", inner)
+            store.apply(parts[2], 2)  # another writer publishes first
+        return inner(change)
+
+    monkeypatch.setattr(store, "_commit", meanwhile)
+    store.compact(up_to=1)
+    m = store.manifest()
+    assert [(p["first"], p["last"]) for p in m["tables"]["deltas"]] == [(0, 1), (2, 2)]
+    assert m["last_batch"] == 2 and _got(store) == _want(events)
+    assert _got(store, old) == want_old and lazily.count() == len(want_old[1])
+    taken = store.files.publish("{}", "manifest", f"v{m['version']}")
+    assert taken is False and store.manifest() == m
+
+
+def test_only_buckets_of_the_batch_are_read(spark, events, tmp_path):
+    store = SimilarityStore(spark, str(tmp_path), buckets=16)
+    m = store.apply(events, 0)
+    one = ingest.valid(events).where("user_id = 'hot'").limit(1)
+    fold = (one.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(16)).cast("int"))
+            .select("bucket", "user_id", "item_id", F.col("weight").alias("w"), F.col("seq").alias("last_seq")))
+    plan = store._touched(fold, m)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "bucket#" in plan
+
+
+def test_active_users_are_scored_again_and_expire(spark, events, tmp_path):
+    """Per batch in time order: the scored users are those of the batch inside the
+    window at its as_of; the store's active users equal the log's; lists equal
+    the batch learner's."""
+    span = 86400 * 5
+    lo, hi = ingest.valid(events).agg(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo + 1) * i // 3 for i in range(4)]
+    store = SimilarityStore(spark, str(tmp_path), buckets=4, fan=2, active_seconds=span)
+    for i in range(3):
+        batch = events.where((F.col("ts") >= cuts[i]) & (F.col("ts") < cuts[i + 1] + (i == 2)))
+        store.apply(batch, i, rescore=5)
+        log = ingest.valid(events.where(F.col("ts") < cuts[i + 1] + (i == 2)))
+        as_of = store.manifest()["max_ts"]
+        assert _rows(store.active_users()) == _rows(active_from_log(log, as_of, span))
+        now = store.table("recs").where(F.col("batch") == i)
+        inside = active_from_log(ingest.valid(batch), as_of, span)
+        state = similarity.user_item_state(log)
+        near = similarity.neighbours(similarity.similarity_exact(
+            similarity.pair_counts(state).select("item_a", "item_b", "pair_count"), similarity.item_counts(state)))
+        want = similarity.recommend(state.join(inside, "user_id", "left_semi"), near, 5)
+        shown = lambda df: _rows(df.select("user_id", "item_id", "rank", F.round("score", 6)))
+        assert shown(now) == shown(want) and now.count() > 0
+    everyone = ingest.valid(events).select("user_id").distinct().count()
+    store.compact()
+    assert store.table("seen").count() == store.active_users().count() <= everyone
+
+
+def test_stream_resumes_into_the_same_store(spark, tmp_path):
+    import shutil
+
+    whole = spark.read.parquet(SF001 + "/events.parquet")
+    table, base = tmp_path / "events.parquet", str(tmp_path / "store")
+    table.mkdir()
+    for i in range(3):
+        whole.where(f"event_id % 3 = {i}").coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+
+    def add(i):
+        (src,) = (tmp_path / f"p{i}").glob("part-*.parquet")
+        shutil.copy(src, table / f"part-{i}.parquet")
+
+    add(0), add(1)
+    acts = actions_table(spark)
+    store = stream_to_store(spark, str(tmp_path), acts, "events.parquet", base, 1)
+    assert store.manifest()["last_batch"] == 1
+    add(2)
+    store = stream_to_store(spark, str(tmp_path), acts, "events.parquet", base, 1)
+    assert store.manifest()["last_batch"] == 2
+    assert _got(store) == _want(ingest.resolve_weights(interactions_raw(spark, SF001), acts))
+    assert set(store.manifest()["tables"]) == set(SCHEMAS)
