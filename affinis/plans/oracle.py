@@ -42,6 +42,8 @@ acc AS (SELECT seq, user_id, item_id, weight, prev_weight, weight - prev_weight
 ST = """st AS (SELECT user_id, item_id, max(weight) AS w, max(seq) AS last_seq
              FROM acc GROUP BY user_id, item_id)"""
 
+RECENT_E = """recent_e AS (SELECT DISTINCT user_id FROM e_ok WHERE ts > (SELECT max(ts) FROM e_ok) - 86400)"""
+
 CNT = """cnt AS (SELECT item_id, sum(w) AS item_count FROM st GROUP BY item_id)"""
 
 PC = """pc AS (
@@ -465,5 +467,14 @@ def oracle_sql() -> dict[str, str]:
     q["stream_item_counts"] = q["item_counts"]
     q["stream_pair_counts"] = with_(E_CHAIN, "SELECT item_a, item_b, pair_count FROM pc")
     q["stream_similarity"] = q["similarity_exact"]
+    q["stream_deltas"] = with_(
+        E_CHAIN, """SELECT 'item' AS kind, item_id AS item_a, NULL::VARCHAR AS item_b, item_count AS delta,
+                           (SELECT max(last_seq) FROM st WHERE st.item_id = cnt.item_id) AS seq FROM cnt
+                    UNION ALL SELECT 'pair', item_a, item_b, pair_count, last_touch FROM pc""")
+    q["stream_rescored"] = with_(
+        E_CHAIN + [RECENT_E], f"""SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank,
+                                         (SELECT max(ts) FROM e_ok) AS as_of
+                                  FROM ({q["recs_item_item"]}) x
+                                  WHERE rank <= 10 AND user_id IN (SELECT user_id FROM recent_e)""")
     q["stream_rejected"] = q["interactions_rejected"]
     return q

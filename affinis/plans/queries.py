@@ -30,6 +30,7 @@ from affinis.params import Params
 from affinis.session import shared_scratch
 from affinis.sources import files, sinks, tables
 from affinis.streaming import learner as stream
+from affinis.streaming import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -758,16 +759,14 @@ def q_stream_active_users(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 
-def _stream_counts(spark, sf_dir):
-    out, _ = stream.stream_deltas(spark, sf_dir, tables.actions_table(spark), "events.parquet")
-    return stream.counts_from_deltas(spark.read.parquet(out))
+def _stream_store(spark, sf_dir, **rescoring):
+    return store.stream_to_store(spark, sf_dir, tables.actions_table(spark), "events.parquet", **rescoring)
 
 
 @register("stream_deltas")
 def q_stream_deltas(spark, sf_dir):
-    """STR2: the raw delta log of the stateful learner."""
-    out, _ = stream.stream_deltas(spark, sf_dir, tables.actions_table(spark), "events.parquet")
-    return spark.read.parquet(out)
+    """STR2: what the learner added to item and pair counts, batch by batch."""
+    return _stream_store(spark, sf_dir).table("deltas")
 
 
 @register("stream_rejected")
@@ -779,20 +778,28 @@ def q_stream_rejected(spark, sf_dir):
 
 @register("stream_item_counts")
 def q_stream_item_counts(spark, sf_dir):
-    return _stream_counts(spark, sf_dir)[0]
+    return _stream_store(spark, sf_dir).counts()[0]
 
 
 @register("stream_pair_counts")
 def q_stream_pair_counts(spark, sf_dir):
-    return _stream_counts(spark, sf_dir)[1]
+    return _stream_store(spark, sf_dir).counts()[1]
 
 
 @register("stream_similarity")
 def q_stream_similarity(spark, sf_dir):
-    counts, pairs = _stream_counts(spark, sf_dir)
-    s = sim.similarity_exact(pairs, counts)
+    """STR3: similarity read from the maintained store."""
+    s = _stream_store(spark, sf_dir).similarity()
     return s.select("item_a", "item_b", "pair_count", r6("similarity"))
 
 
+@register("stream_rescored")
+def q_stream_rescored(spark, sf_dir):
+    """STR4: the ten best items of each user scored again because a batch found
+    them inside the window (the last day before the newest event)."""
+    kept = _stream_store(spark, sf_dir, active_seconds=86400, rescore=SERVE_N)
+    return kept.table("recs").select("user_id", "item_id", r6("score"), "rank", "as_of")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -105,15 +105,15 @@ class _Folder:
 
 
 class SimilarityStore:
-    """Open the store at ``root``, or make it there.  ``buckets`` and
-    ``active_seconds`` are fixed when it is made."""
+    """Open the store at ``root``, or make it there.  ``buckets`` (as many as the
+    session's shuffle partitions) and ``active_seconds`` are fixed when it is made."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, fan: int = 8,
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, fan: int = 8,
                  active_seconds: int | None = None, params: Params = Params()):
         self.spark, self.root, self.fan, self.params = spark, root, fan, params
         self.files = _Folder(spark, root)
         if not self._versions():
-            first = {"version": 0, "last_batch": -1, "max_ts": None, "buckets": buckets,
+            first = {"version": 0, "last_batch": -1, "max_ts": None, "buckets": buckets or fanout_partitions(spark),
                      "active_seconds": active_seconds, "tables": {t: [] for t in SCHEMAS}}
             self.files.publish(json.dumps(first), "manifest", "v0")
 
@@ -204,16 +204,16 @@ class SimilarityStore:
         every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
         x = cut.where(rose).select("user_id", F.col("item_id").alias("x"), F.col("old").alias("x_old"),
                                    F.col("new").alias("x_new"), F.col("b").alias("bx"), every.alias("by"),
-                                   F.col("last_seq").alias("seq"))
+                                   F.col("last_seq").alias("x_seq"))
         y = cut.select("user_id", F.col("item_id").alias("y"), F.col("old").alias("y_old"), F.col("new").alias("y_new"),
-                       F.col("b").alias("by"), every.alias("bx"))
+                       F.col("b").alias("by"), every.alias("bx"), F.when(rose, F.col("last_seq")).alias("y_seq"))
         n, keys = fanout_partitions(self.spark), ["user_id", "bx", "by"]
         pairs = x.repartition(n, *keys).join(y.repartition(n, *keys), keys)
         both_rose = F.col("y_new") > F.col("y_old")  # such a pair meets twice: once is enough
         pairs = pairs.where((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~both_rose))
         change = F.least("x_new", "y_new") - F.least("x_old", "y_old")
         return pairs.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"),
-                            change.alias("delta"), "seq").where("delta <> 0")
+                            change.alias("delta"), F.greatest("x_seq", "y_seq").alias("seq")).where("delta <> 0")
 
     def _pair_changes(self, touched: DataFrame) -> DataFrame:
         sums = [F.sum("delta").alias("delta"), F.max("seq").alias("seq")]
