@@ -76,19 +76,24 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def pairs_from_turns(turns: DataFrame) -> DataFrame:
-    """One pair for each conversation of (conv_id, turn, role, text) that has an
-    assistant turn: chosen is the conversation up to its last assistant turn,
-    rejected answers there with the conversation's opening text instead.
-
-    Turns sort by turn, role, text (nulls first); a conversation is one row, as
-    long as the conversation itself.  Null conv_ids form one conversation.
+    """One pair for each conversation of (conv_id, turn, role, text): chosen is the
+    whole conversation; in rejected, one assistant turn (the md5 of the id says
+    which) answers with the conversation's opening text, and the turns after it
+    stand as they are.  So both completions run from that turn to the end.
+
+    A conversation without an assistant turn has two equal sides (all prompt).
+    Turns sort by turn, role, text (nulls first), repeated ones are all kept; a
+    conversation is one row, as long as the conversation itself.  Nothing tells
+    which rows without conv_id belong together: each is a conversation of its own.
     """
     turn = F.struct("turn", "role", "text")
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    roles = F.transform("t", lambda x: F.coalesce(x["role"], F.lit("")))
-    last = F.size("t") - F.array_position(F.reverse(roles), "assistant").cast("int") + 1
-    conv = convs.where(F.array_contains(roles, "assistant")).withColumn("n", last)
+    known = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    alone = turns.where("conv_id is null").select("conv_id", F.array(turn).alias("t"))
+    said = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i)["role"] == "assistant")
+    pick = F.conv(F.substring(F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    conv = (known.unionByName(alone).withColumn("said", said)
+            .withColumn("at", F.when(F.size("said") > 0, F.get("said", (pick % F.size("said")).cast("int")))))
     simple = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    bad = F.struct(F.lit("assistant").alias("role"), F.col("t")[0]["text"].alias("text"))
-    return conv.select("conv_id", F.slice(simple, F.lit(1), F.col("n")).alias("chosen"),
-                       F.concat(F.slice(simple, F.lit(1), F.col("n") - 1), F.array(bad)).alias("rejected"))
+    bad = F.struct(F.lit("assistant").alias("role"), F.get("t", F.lit(0))["text"].alias("text"))
+    swapped = F.transform(simple, lambda x, i: F.when(i == F.col("at"), bad).otherwise(x))
+    return conv.select("conv_id", simple.alias("chosen"), swapped.alias("rejected"))

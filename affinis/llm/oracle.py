@@ -10,25 +10,33 @@ from __future__ import annotations
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP1 = r"""
-WITH c AS (
-  SELECT conv_id, list({'role': role, 'text': replace(text, '<|im_', '<| im_')} ORDER BY turn, role, text) AS t
-  FROM conversations GROUP BY conv_id),
-n AS (
-  SELECT conv_id, t, (SELECT max(i) FROM unnest(range(1, len(t) + 1)) r(i) WHERE t[i].role = 'assistant') AS n FROM c),
-p AS (
-  SELECT conv_id, t, n, CASE WHEN t[n].text = t[1].text THEN n ELSE n - 1 END AS n_common
-  FROM n WHERE n IS NOT NULL),
-r AS (
-  SELECT *, '<|im_start|>assistant' || chr(10) AS head, '<|im_end|>' || chr(10) AS foot FROM p)
-SELECT conv_id, n_common::int AS n_common,
-  coalesce(array_to_string(list_transform(t[1:n_common],
-    lambda x: '<|im_start|>' || x.role || chr(10) || x.text || foot), ''), '') AS prompt,
-  CASE WHEN n_common = n THEN '' ELSE head || t[n].text || foot END AS chosen_completion,
-  CASE WHEN n_common = n THEN '' ELSE head || t[1].text || foot END AS rejected_completion,
-  CASE WHEN n_common = n THEN '' ELSE '22:' || (length(t[n].text) + 11) END AS chosen_mask,
-  CASE WHEN n_common = n THEN '' ELSE '22:' || (length(t[1].text) + 11) END AS rejected_mask,
-  n_common = n AS tied
-FROM r
+WITH t AS (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, role, text FROM conversations),
+c AS (
+  SELECT conv_id, list({'role': coalesce(role, 'unknown'), 'text': replace(coalesce(text, ''), '<|im_', '<| im_')}
+                       ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t
+  FROM t GROUP BY conv_id, own),
+s AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS said FROM c),
+d AS (
+  SELECT conv_id, t, len(t) AS n,
+    said[1 + ('0x' || md5(coalesce(conv_id::varchar, ''))[1:8])::bigint % greatest(len(said), 1)] AS hit FROM s),
+p AS (SELECT *, CASE WHEN hit IS NULL OR t[hit].text = t[1].text THEN n ELSE hit - 1 END AS k FROM d),
+x AS (
+  SELECT conv_id, k, t[1:k] AS head, t[k + 1:n] AS good,
+    CASE WHEN k = n THEN t[k + 1:n] ELSE list_concat([{'role': 'assistant', 'text': t[1].text}], t[k + 2:n]) END AS bad
+  FROM p)
+SELECT conv_id, k::int AS n_common,
+  coalesce(array_to_string(list_transform(head, lambda y: '<|im_start|>' || y.role || chr(10) || y.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(good, lambda y: '<|im_start|>' || y.role || chr(10) || y.text || '<|im_end|>' || chr(10)), ''), '') AS chosen_completion,
+  coalesce(array_to_string(list_transform(bad, lambda y: '<|im_start|>' || y.role || chr(10) || y.text || '<|im_end|>' || chr(10)), ''), '') AS rejected_completion,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(good) + 1), lambda i: good[i].role = 'assistant'), lambda i:
+    (coalesce(list_sum(list_transform(good[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 22)::bigint::varchar
+    || ':' || (length(good[i].text) + 11)), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(bad) + 1), lambda i: bad[i].role = 'assistant'), lambda i:
+    (coalesce(list_sum(list_transform(bad[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 22)::bigint::varchar
+    || ':' || (length(bad[i].text) + 11)), ','), '') AS rejected_mask,
+  len(good) = 0 AS tied
+FROM x
 """
 
 _OP5 = rf"""

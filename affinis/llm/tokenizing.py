@@ -5,7 +5,9 @@ between two other characters, so a text is encoded part by part and each part
 once for every cache: words repeat, and most of the time goes into merges.
 Parts made of Latin letters, digits and ASCII signs are cut by the tokenizer's
 own split pattern and go straight to the library's BPE model; every other part
-goes through its full pipeline.  ``tests/llm`` compares the ids with
+goes through its full pipeline.  A text that holds the string of an added token
+(``<|endoftext|>``) goes whole through the library, which cuts it there and
+strips as that token says.  ``tests/llm`` compares the ids with
 ``Tokenizer.encode`` on whole texts.
 """
 
@@ -61,7 +63,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.whole = any(t.normalized for t in added)  # such a string may show in the normalized text alone
         self.kind = kind
         self.model = self.tok.model
         self.chars = _byte_chars()
@@ -99,6 +103,8 @@ class TextEncoder:
         """Ids of the text as little-endian uint32 bytes; null and empty: none."""
         if not text:
             return b""
+        if self.whole or any(s in text for s in self.added):
+            return self._full(text)
         if not self.lead:
             return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
         if _RUN.search(text):

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and odd inputs."""
 
+import hashlib
 import io
 import zlib
 
@@ -146,6 +147,42 @@ def test_preferences_equal_brute_force(spark):
         assert got == brute_format(*pairs[r.id]), r.id
 
 
+def brute_pair(turns):
+    """Both sides of one conversation, its turns in order."""
+    said = [i for i, (_, role, _) in enumerate(turns) if role == "assistant"]
+    chosen = [(role, text) for _, role, text in turns]
+    return chosen, said
+
+
+def test_pairs_of_turns_equal_brute_force(spark):
+    """No answer, turns after the answer, several answers, repeated turns, null
+    ids (each row its own conversation), null roles and texts, an extra column."""
+    convs = {
+        1: [(0, "user", "hi"), (1, "assistant", "yo"), (2, "user", "more")],
+        2: [(0, "user", "hi"), (1, "user", "anyone?")],
+        3: [(i, "assistant" if i % 2 else "user", f"t{i}") for i in range(9)],
+        4: [(0, "user", "same"), (1, "assistant", "same")],
+        5: [(None, None, None), (0, "user", "x"), (0, "user", "x"), (1, "assistant", None), (2, "system", "")],
+        6: [(0, "assistant", "first")]}
+    loose = [(0, "user", "hi"), (0, "user", "hi"), (1, "assistant", "yo"), (None, None, None)]
+    rows = [(c, *t, "clash") for c, ts in convs.items() for t in ts] + [(None, *t, "clash") for t in loose]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, chosen string")
+    got = chat_format.pairs_from_turns(df).collect()
+    assert chat_format.pairs_from_turns(df.limit(0)).count() == 0
+    sides = lambda ts: [(t.role, t.text) for t in ts]
+    assert sorted(str(sides(r.chosen)) for r in got if r.conv_id is None) == sorted(str([t[1:]]) for t in loose)
+    assert len(got) == len(convs) + len(loose)
+    for r in got:
+        if r.conv_id is None:
+            continue
+        chosen, said = brute_pair(convs[r.conv_id])
+        want = list(chosen)
+        if said:
+            at = said[int(hashlib.md5(str(r.conv_id).encode()).hexdigest()[:8], 16) % len(said)]
+            want[at] = ("assistant", chosen[0][1])
+        assert sides(r.chosen) == chosen and sides(r.rejected) == want, r.conv_id
+
+
 # 2 ---------------------------------------------------------------------------
 
 def test_schedule_is_longest_processing_time():
@@ -411,10 +448,21 @@ def test_components_equal_brute_force(spark, homes_per_cell):
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aZé 0.,'s\n\t  \x1cİΣ日😀<|>-́")), max_size=40))
 def test_encoder_equals_the_library(text):
-    for enc in ENCODERS:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    for enc, tok in zip(ENCODERS, LIBRARY, strict=True):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "it's", "Éa", "日"]), max_size=9))
+def test_special_strings_are_read_as_the_library_reads_them(parts):
+    test_encoder_equals_the_library.hypothesis.inner_test("".join(parts))
+
+
+def test_special_string_example():
+    assert np.frombuffer(ENCODERS[0].encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
 
 
+LIBRARY = [Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)]
 ENCODERS = [TextEncoder(BYTE, "byte", 200), TextEncoder(WORD, "word", 200)]
 
 
@@ -438,7 +486,6 @@ def test_packed_file_round_trip(bits, sizes, block):
 def test_packed_ids_of_documents(spark):
     docs = odd_documents(spark).where("doc_id is null or doc_id != 6")
     tok, at = Tokenizer.from_file(BYTE), 0
-    tok.encode_special_tokens = True
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
     got = sorted(bitpack.packed_ids(docs, BYTE, "byte", 2).collect(), key=lambda r: r.start)
     for r, g in zip(rows, got, strict=True):
