@@ -463,6 +463,13 @@ def oracle_sql() -> dict[str, str]:
                       UNION ALL
                       SELECT DISTINCT event_type, 1.0::DOUBLE FROM events
                       WHERE event_type NOT IN (SELECT name FROM actions)""")
+    q["item_upserts"] = """
+        SELECT CAST(l_partkey AS BIGINT) AS itemid, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(l_orderkey AS BIGINT) AS seq,
+               CAST(l_linenumber AS INTEGER) AS line, CAST(l_quantity AS DOUBLE) AS quantity,
+               CAST(l_extendedprice AS DOUBLE) AS price
+        FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey DESC,
+                                   l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) = 1"""
     # the streaming learner's summed deltas equal the batch statistics
     q["stream_item_counts"] = q["item_counts"]
     q["stream_pair_counts"] = with_(E_CHAIN, "SELECT item_a, item_b, pair_count FROM pc")

@@ -29,6 +29,7 @@ from affinis.operators import topk
 from affinis.params import Params
 from affinis.session import shared_scratch
 from affinis.sources import files, sinks, tables
+from affinis.sources.manifest import KeyedTable
 from affinis.streaming import learner as stream
 from affinis.streaming import store
 
@@ -640,6 +641,25 @@ def q_item_json_ingest(spark, sf_dir):
     return sinks.upsert_latest(good, ["itemid"], ["seq"]).select("itemid", "psize", "pretailprice", "note")
 
 
+@register("item_upserts")
+def q_item_upserts(spark, sf_dir):
+    """SNK12: order lines as item updates, merged in two batches into a stored
+    table; ids repeat within and across the batches, and a row of the second
+    batch may be older than the stored one."""
+    line = tables.read_table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate",
+                             "l_orderkey", "l_linenumber")
+    rows = line.select(F.col("l_partkey").cast("long").alias("itemid"), F.col("l_shipdate").cast("date").alias("day"),
+                       F.col("l_orderkey").cast("long").alias("seq"), F.col("l_linenumber").cast("int").alias("line"),
+                       F.col("l_quantity").cast("double").alias("quantity"),
+                       F.col("l_extendedprice").cast("double").alias("price"))
+    kept = KeyedTable(spark, shared_scratch(spark, "item-upserts"),
+                      "itemid long, day date, seq long, line int, quantity double, price double",
+                      ["itemid"], ["day", "seq", "line"])
+    kept.merge(rows.where("line <= 2"))
+    kept.merge(rows.where("line > 2 or line is null"))
+    return kept.read().withColumn("day", F.col("day").cast("string"))
+
+
 @register("actions_registered")
 def q_actions_registered(spark, sf_dir):
     """SNK14: the event types seen in the log, registered when new (with

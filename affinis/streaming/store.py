@@ -34,7 +34,6 @@ them).  An empty batch writes no parts.  Repeated events change nothing.
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 
@@ -45,6 +44,7 @@ from affinis.operators import ingest
 from affinis.operators import similarity as sim
 from affinis.params import Params
 from affinis.session import ensure_checkpoint_dir, fanout_partitions
+from affinis.sources.manifest import Folder, Manifests
 from affinis.streaming.learner import raw_stream
 
 SCHEMAS = {
@@ -61,49 +61,6 @@ def _names(table: str) -> list[str]:
     return [field.split()[0] for field in SCHEMAS[table].split(", ")]
 
 
-class _Folder:
-    """The few file operations of a store, on whatever file system it lies."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
-        self.conf, self.root = spark._jsc.hadoopConfiguration(), root
-        self.fs = self.path().getFileSystem(self.conf)
-
-    def path(self, *parts: str):
-        return self.jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, *parts))
-
-    def names(self, folder: str) -> list[str]:
-        p = self.path(folder)
-        return [s.getPath().getName() for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
-
-    def read(self, *parts: str) -> str:
-        stream = self.fs.open(self.path(*parts))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def publish(self, text: str, *parts: str) -> bool:
-        """A new file with this text; False if the name is taken."""
-        tmp, target = self.path(*parts[:-1], f"_{uuid.uuid4().hex}"), self.path(*parts)
-        out = self.fs.create(tmp, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.conf)
-        none = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            context.rename(self.fs.makeQualified(tmp), self.fs.makeQualified(target), none)
-            return True
-        except Exception:
-            self.fs.delete(tmp, False)
-            if self.fs.exists(target):
-                return False
-            raise
-
-    def delete(self, *parts: str) -> None:
-        self.fs.delete(self.path(*parts), True)
-
-
 class SimilarityStore:
     """Open the store at ``root``, or make it there.  ``buckets`` (as many as the
     session's shuffle partitions) and ``active_seconds`` are fixed when it is made."""
@@ -111,31 +68,20 @@ class SimilarityStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, fan: int = 8,
                  active_seconds: int | None = None, params: Params = Params()):
         self.spark, self.root, self.fan, self.params = spark, root, fan, params
-        self.files = _Folder(spark, root)
-        if not self._versions():
+        self.files = Folder(spark, root)
+        self.log = Manifests(self.files)
+        if not self.log.versions():
             first = {"version": 0, "last_batch": -1, "max_ts": None, "buckets": buckets or fanout_partitions(spark),
                      "active_seconds": active_seconds, "tables": {t: [] for t in SCHEMAS}}
-            self.files.publish(json.dumps(first), "manifest", "v0")
+            self.log.publish(first)
 
     # ------------------------------------------------------------ manifests
 
-    def _versions(self) -> list[int]:
-        return sorted(int(n[1:]) for n in self.files.names("manifest") if n.startswith("v"))
-
     def manifest(self, version: int | None = None) -> dict:
-        at = self._versions()[-1] if version is None else version
-        return json.loads(self.files.read("manifest", f"v{at}"))
+        return self.log.read(version)
 
     def _commit(self, change) -> dict:
-        """Publish ``change(newest manifest)``, again on the newer one if another
-        writer came first; None from ``change`` leaves things as they are."""
-        while True:
-            new = change(self.manifest())
-            if new is None:
-                return self.manifest()
-            new["version"] += 1
-            if self.files.publish(json.dumps(new), "manifest", f"v{new['version']}"):
-                return new
+        return self.log.commit(change)
 
     # ---------------------------------------------------------------- parts
 
@@ -316,7 +262,7 @@ class SimilarityStore:
         """Remove part folders named by no manifest from the ``keep`` newest on, and
         older manifests.  For a store that no writer is at work on; readers of
         the kept manifests are not disturbed."""
-        versions = self._versions()
+        versions = self.log.versions()
         kept = versions[-keep:]
         named = {(t, p["name"]) for v in kept for t, ps in self.manifest(v)["tables"].items() for p in ps}
         stale = [(t, n) for t in SCHEMAS for n in self.files.names(t) if (t, n) not in named]
