@@ -6,7 +6,10 @@ logic can be checked against SQL without a fitted model:
 * ``item_mean``: prediction = the item's mean rating (a collaborative
   stand-in: what "users like you" rated the item on average);
 * ``user_mean_content``: prediction = the user's mean rating plus a content
-  offset ``feature / scale`` of the item (a content stand-in).
+  offset ``feature / scale`` of the item (a content stand-in);
+* ``user_category_mean``: prediction = the user's mean rating of the item's
+  category (a content stand-in with holes: none where the user has not rated
+  that category).
 """
 
 from __future__ import annotations
@@ -29,3 +32,10 @@ def user_mean_content(train: DataFrame, items: DataFrame, pairs: DataFrame,
     it = items.select("itemid", F.col(feature).cast("double").alias("_f"))
     j = pairs.select("userid", "itemid").join(um, "userid").join(it, "itemid")
     return j.select("userid", "itemid", (F.col("_um") + F.col("_f") / F.lit(scale)).alias("prediction"))
+
+
+def user_category_mean(train: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+    it = items.select("itemid", "category")
+    m = (train.join(it, "itemid").groupBy("userid", "category").agg(F.avg("rating").alias("prediction")))
+    return (pairs.select("userid", "itemid").join(it, "itemid").join(m, ["userid", "category"])
+            .select("userid", "itemid", "prediction"))

@@ -389,7 +389,7 @@ def sql_hybrid_eval() -> dict[str, str]:
                           FROM ehyb, (SELECT min(prediction) AS lo, max(prediction) AS hi FROM ehyb))"""],
         """SELECT round(avg(CASE WHEN t.label = p.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_pairs
            FROM tlab1 t JOIN (SELECT * FROM plab WHERE label IS NOT NULL) p USING (userid, itemid)""")
-    weights = ", ".join(f"({w}::DOUBLE)" for w in _sweep())
+    weights = ", ".join(f"({w}::DOUBLE)" for w in SWEEP)
     q["eval_weight_sweep"] = with_(
         EVAL_CHAIN + [f"""grid AS (SELECT * FROM (VALUES {weights}) g(weight))""",
                       """sw AS (SELECT userid, itemid, weight,
@@ -406,6 +406,33 @@ def sql_hybrid_eval() -> dict[str, str]:
         """SELECT weight, round(accuracy, 6) AS accuracy, n_pairs,
                   weight = (SELECT weight FROM acc ORDER BY accuracy DESC, weight LIMIT 1) AS best
            FROM acc""")
+    q["pipeline_sweep"] = with_(
+        EVAL_CHAIN + [f"""grid AS (SELECT * FROM (VALUES {weights}) g(weight))""",
+                      """upm AS (SELECT userid, avg(rating) AS um FROM train GROUP BY userid)""",
+                      """ucm AS (SELECT userid, category, avg(rating) AS m FROM train JOIN i USING (itemid)
+                                 GROUP BY userid, category)""",
+                      """side AS (SELECT 0 AS pid, 'size' AS pipeline, userid, itemid, prediction FROM ecb
+                                  UNION ALL SELECT 1, 'price', t.userid, t.itemid, u.um + i.pretailprice / 1000.0::DOUBLE
+                                  FROM test t JOIN upm u USING (userid) JOIN i USING (itemid)
+                                  UNION ALL SELECT 2, 'category', t.userid, t.itemid, c.m
+                                  FROM test t JOIN i USING (itemid) JOIN ucm c USING (userid, category))""",
+                      """sw AS (SELECT pid, pipeline, userid, itemid, weight,
+                                       ecf.prediction * weight + side.prediction * (1.0::DOUBLE - weight) AS prediction
+                                FROM ecf JOIN side USING (userid, itemid) CROSS JOIN grid)""",
+                      """swl AS (SELECT sw.*, CASE WHEN prediction >= lo + 0.6::DOUBLE * (hi - lo) THEN 1
+                                                   WHEN prediction < lo + 0.4::DOUBLE * (hi - lo) THEN 0 END AS label
+                                 FROM sw JOIN (SELECT pid, weight, min(prediction) AS lo, max(prediction) AS hi
+                                               FROM sw GROUP BY pid, weight) l USING (pid, weight))""",
+                      """acc AS (SELECT s.pid, s.pipeline, s.weight,
+                                        avg(CASE WHEN t.label = s.label THEN 1.0 WHEN t.label <> s.label THEN 0.0 END) AS accuracy,
+                                        count(CASE WHEN t.label IS NOT NULL AND s.label IS NOT NULL THEN 1 END) AS n_pairs
+                                 FROM swl s LEFT JOIN tlab1 t USING (userid, itemid)
+                                 GROUP BY s.pid, s.pipeline, s.weight)""",
+                      """top AS (SELECT pid, weight FROM acc WHERE accuracy IS NOT NULL
+                                 ORDER BY accuracy DESC, pid, weight LIMIT 1)"""],
+        """SELECT pipeline, weight, round(accuracy, 6) AS accuracy, n_pairs,
+                  EXISTS (SELECT 1 FROM top WHERE top.pid = acc.pid AND top.weight = acc.weight) AS best
+           FROM acc""")
     q["eval_precision"] = with_(
         EVAL_CHAIN, """SELECT round(avg(CASE WHEN t.rating > 3 AND h.prediction > 3 THEN 1.0 ELSE 0.0 END), 6) AS precision,
                               count(*) AS n_pairs
@@ -423,10 +450,9 @@ def sql_hybrid_eval() -> dict[str, str]:
     return q
 
 
-def _sweep() -> list[float]:
-    from affinis.operators.evaluate import sweep_weights
-
-    return sweep_weights()
+# The weight grid, 0.10 to 1.00 in steps of 0.05.
+SWEEP = ["0.1", "0.15", "0.2", "0.25", "0.3", "0.35", "0.4", "0.45", "0.5", "0.55",
+         "0.6", "0.65", "0.7", "0.75", "0.8", "0.85", "0.9", "0.95", "1.0"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,8 +26,9 @@ from affinis.operators import models
 from affinis.operators import popular as pop
 from affinis.operators import similarity as sim
 from affinis.operators import topk
+from affinis.operators import tuning
 from affinis.params import Params
-from affinis.session import shared_scratch
+from affinis.session import shared_scratch, stored
 from affinis.sources import files, sinks, tables
 from affinis.sources.manifest import KeyedTable
 from affinis.streaming import learner as stream
@@ -338,6 +339,7 @@ def q_state_to_rating(spark, sf_dir):
 
 # ------------------------------------------------- hybrid, serving, evaluation
 
+PRICE_SCALE = 1000.0
 HYBRID_WEIGHT = Params().hb_collaborative_weight
 SERVE_N = 10
 
@@ -446,6 +448,18 @@ def q_eval_weight_sweep(spark, sf_dir):
     return ev.weight_sweep(test, cf, cb).select("weight", r6("accuracy"), "n_pairs", "best")
 
 
+@register("pipeline_sweep")
+def q_pipeline_sweep(spark, sf_dir):
+    """ML14 per content pipeline: 19 weights each for three stand-ins, one of them
+    with holes (JOI3 drops those pairs)."""
+    test, cf, cb = _eval_inputs(spark, sf_dir)
+    s = cand.ordered_split(tables.ratings(spark, sf_dir), Params().train_fraction)
+    train, items = s.filter(F.col("split") == "train"), _items(spark, sf_dir)
+    pipelines = {"size": cb, "price": base.user_mean_content(train, items, test, "pretailprice", PRICE_SCALE),
+                 "category": base.user_category_mean(train, items, test)}
+    return tuning.pipeline_sweep(test, cf, pipelines).select("pipeline", "weight", r6("accuracy"), "n_pairs", "best")
+
+
 @register("eval_precision")
 def q_eval_precision(spark, sf_dir):
     test, cf, cb = _eval_inputs(spark, sf_dir)
@@ -738,6 +752,20 @@ def q_model_family_comparison(spark, sf_dir):
     return ev.compare_families(test, fam).select("family", r6("mean_r_precision"))
 
 
+@register("pipeline_sweep_trained")
+def q_pipeline_sweep_trained(spark, sf_dir):
+    """ML14 with trained models: ALS blended with each registered content model at
+    every weight, all fitted on the train part and judged on the test pairs."""
+    s = stored(cand.ordered_split(_ratings(spark, sf_dir), Params().train_fraction), "split")
+    train = s.filter(F.col("split") == "train").drop("split")
+    test = s.filter(F.col("split") == "test").drop("split")
+    feats_ = _features(spark, sf_dir)
+    pipelines = {name: models.content_predictions(name, train, feats_, test, _n_features())
+                 for name in models.PIPELINES.values()}
+    cf = models.cf_predictions(models.fit_als(train), test)
+    return tuning.pipeline_sweep(test, cf, pipelines).select("pipeline", "weight", r6("accuracy"), "n_pairs", "best")
+
+
 @register("item_dictionary")
 def q_item_dictionary(spark, sf_dir):
     """FE9: per item the feature name → value map, as (item, feature, value)."""
