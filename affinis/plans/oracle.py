@@ -509,5 +509,19 @@ def oracle_sql() -> dict[str, str]:
                                          (SELECT max(ts) FROM e_ok) AS as_of
                                   FROM ({q["recs_item_item"]}) x
                                   WHERE rank <= 10 AND user_id IN (SELECT user_id FROM recent_e)""")
+    q["erp_forward_fill"] = """SELECT CAST(l_orderkey AS INTEGER) AS orderid, CAST(l_linenumber AS INTEGER) AS line,
+                                      l_returnflag AS category FROM lineitem"""
+    q["user_export"] = with_(
+        R_CHAIN, """SELECT userid, itemid, rating AS prediction FROM r
+                    WHERE userid IN (SELECT userid FROM (
+                      SELECT userid FROM r ORDER BY ts DESC, userid DESC, itemid DESC LIMIT 50))""")
+    q["cluster_mates"] = with_(
+        R_CHAIN + [I, """placed AS (SELECT itemid, psize, CAST((row_number() OVER (PARTITION BY psize ORDER BY itemid) - 1) // 16
+                                           AS INTEGER) AS page FROM i)""",
+                   POP10],
+        """SELECT w.itemid, p.page,
+                  coalesce(string_agg(CAST(p.itemid AS VARCHAR), ':' ORDER BY p.itemid) FILTER (p.itemid <> w.itemid), '') AS similar_items
+           FROM pop10 w JOIN i ON i.itemid = w.itemid JOIN placed p ON p.psize = i.psize
+           GROUP BY w.itemid, p.page""")
     q["stream_rejected"] = q["interactions_rejected"]
     return q

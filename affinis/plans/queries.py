@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import columns as cols
@@ -17,6 +17,7 @@ from affinis.functions import features as feats
 from affinis.functions.schema import ItemSchema, decode_items
 from affinis.operators import baselines as base
 from affinis.operators import candidates as cand
+from affinis.operators import clusters
 from affinis.operators import evaluate as ev
 from affinis.operators import hybrid as hyb
 from affinis.operators import ingest
@@ -29,7 +30,7 @@ from affinis.operators import topk
 from affinis.operators import tuning
 from affinis.params import Params
 from affinis.session import shared_scratch, stored
-from affinis.sources import files, sinks, tables
+from affinis.sources import files, sinks, tables, user_files
 from affinis.sources.manifest import KeyedTable
 from affinis.streaming import learner as stream
 from affinis.streaming import store
@@ -340,6 +341,8 @@ def q_state_to_rating(spark, sf_dir):
 # ------------------------------------------------- hybrid, serving, evaluation
 
 PRICE_SCALE = 1000.0
+MATES_PAGE = 16
+NEWEST_ROWS = 50
 HYBRID_WEIGHT = Params().hb_collaborative_weight
 SERVE_N = 10
 
@@ -616,6 +619,24 @@ def q_item_clusters(spark, sf_dir):
     return models.cluster_sizes(assign)
 
 
+@register("item_cluster_centres")
+def q_item_cluster_centres(spark, sf_dir):
+    """ML9: the centres of the item clusters with their sizes and costs."""
+    _, centres = clusters.fit_clusters(_features(spark, sf_dir), Params().clusters_k, Params().clusters_seed)
+    return centres
+
+
+@register("cluster_mates")
+def q_cluster_mates(spark, sf_dir):
+    """AGG4 + SNK4: clusters given by the catalogue's sizes, stored in pages; the other
+    items of the clusters of the ten most popular items, read back."""
+    path = shared_scratch(spark, "cluster-lists")
+    assign = _items(spark, sf_dir).select("itemid", F.col("psize").cast("int").alias("cluster"))
+    clusters.write_clusters(assign, path, MATES_PAGE)
+    got = clusters.read_mates(spark, path, _popular_top(_ratings(spark, sf_dir), SERVE_N))
+    return got.select("itemid", "page", cols.join_id_list("similar_items").alias("similar_items"))
+
+
 @register("item_features_indexed")
 def q_item_features_indexed(spark, sf_dir):
     v = models.index_features(_features(spark, sf_dir))
@@ -642,6 +663,33 @@ def q_ratings_csv_roundtrip(spark, sf_dir):
     return files.read_ratings_csv(spark, path, require_all=True)
 
 
+@register("erp_forward_fill")
+def q_erp_forward_fill(spark, sf_dir):
+    """SRC7 + WIN4: order lines as an ERP export, the order's id on its first line only;
+    read back and filled forward in file order."""
+    path = shared_scratch(spark, "erp")
+    li = tables.read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag")) == 1
+    (li.withColumn("id", F.when(first, F.concat(F.lit("order_"), "l_orderkey")).otherwise(F.lit("")))
+     .repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_returnflag")
+     .select("id", F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("category"))
+     .write.option("header", True).option("sep", ";").csv(path))
+    read = files.read_erp_csv(spark, [path], "id string, line int, category string")
+    filled = files.forward_fill(read, "id", ["_file"], "_line")
+    return filled.select(cols.id_after_last("id").alias("orderid"), "line", "category")
+
+
+@register("user_export")
+def q_user_export(spark, sf_dir):
+    """SNK7: the current ratings exported in files by user; those of the users of
+    the newest ratings read back through the index."""
+    path = shared_scratch(spark, "user-export")
+    r = _ratings(spark, sf_dir)
+    user_files.write_user_files(r.select("userid", "itemid", F.col("rating").alias("prediction")), path)
+    return user_files.read_user_files(spark, path, cand.last_n_users(r, NEWEST_ROWS),
+                                      "itemid int, prediction double")
+
+
 @register("item_json_ingest")
 def q_item_json_ingest(spark, sf_dir):
     """FE7 + SNK12: item rows as JSON documents decoded by the declared

@@ -6,11 +6,12 @@ CSV parser itself (corrupt-record column) — no per-row Python casts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import columns as cols
 from affinis.operators.prefix import running_agg
+from affinis.session import stored
 
 RATINGS_CSV_SCHEMA = "userid int, itemid int, rating double, timestamp string"
 MOVIES_CSV_SCHEMA = "itemid int, title string, genres string"
@@ -67,13 +68,29 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None)
     return df.select("label", vector_to_array("features").alias("features"))
 
 
+def numbered_lines(df: DataFrame) -> DataFrame:
+    """Rows of a file scan with ``_file`` and ``_line``, the row's number in its file
+    (from 0, header and blank lines not counted), however the file was split.
+
+    Inside a split the rows come in file order; splits are ordered by where they
+    begin in the file.  The rows are written once with split and place, so that a lost task
+    cannot number them anew; a split's offset is the count of rows in the file's
+    earlier splits (one row per split, never one per line)."""
+    placed = stored(df.select("*", F.col("_metadata.file_path").alias("_file"),
+                              F.col("_metadata.file_block_start").alias("_start"),
+                              F.monotonically_increasing_id().alias("_at")), "lines")
+    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return (placed.join(offsets, ["_file", "_start"])
+            .select(*df.columns, "_file", (F.col("_off") + F.col("_at") - F.col("_first")).alias("_line")))
+
+
 def read_erp_csv(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """SRC7: ``;``-separated, ``"``-quoted, header, several yearly files
-    unioned; each row keeps its file and a line number in file order."""
-    df = (spark.read.schema(schema).option("header", True).option("sep", ";")
-          .option("quote", '"').option("mode", "PERMISSIVE").csv(paths))
-    return (df.withColumn("_file", F.input_file_name())
-            .withColumn("_line", F.monotonically_increasing_id()))
+    unioned; each row keeps its file and its line number there."""
+    return numbered_lines(spark.read.schema(schema).option("header", True).option("sep", ";")
+                          .option("quote", '"').option("mode", "PERMISSIVE").csv(paths))
 
 
 # Column layout of the ERP exports.
