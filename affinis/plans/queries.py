@@ -623,7 +623,7 @@ def q_item_clusters(spark, sf_dir):
 def q_item_cluster_centres(spark, sf_dir):
     """ML9: the centres of the item clusters with their sizes and costs."""
     _, centres = clusters.fit_clusters(_features(spark, sf_dir), Params().clusters_k, Params().clusters_seed)
-    return centres
+    return centres.select("cluster", feats.vector_to_string("centre").alias("centre"), "n_items", "cost")
 
 
 @register("cluster_mates")
