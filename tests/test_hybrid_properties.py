@@ -107,6 +107,64 @@ def test_visits_equal_brute_force_without_an_expression(spark):
     assert topk.pruned_topk(prof, items.limit(0), None, 3, [F.col("p")[0]], [F.col("q")[0]]).count() == 0
 
 
+def test_users_of_equal_scores_read_the_first_ids_only(spark):
+    """A zero vector ties all items: only the k first unowned ids are met, beside
+    users with a vector; a task gives k rows a user, however many items tie."""
+    from affinis.operators import topk
+
+    users = [(u, [0, 2, 5 + u % 3], float(u), [0.0, 0.0] if u % 4 else [0.0, 1.0]) for u in range(200)]
+    prof = spark.createDataFrame(users, "userid int, owned array<int>, c double, p array<double>")
+    items = spark.range(5000).selectExpr("cast(id as int) as itemid", "array(cast(id % 7 as double), cast(id % 2 as double)) as q")
+    met = spark.sparkContext.accumulator(0)
+    got = topk.pruned_topk(prof, items, None, 6, [F.col("p")[0], F.col("p")[1]], [F.col("q")[0], F.col("q")[1]], F.col("c"), met=met).collect()
+    want = set()
+    for u, owned, c, p in users:
+        free = [i for i in range(5000) if i not in owned and (p[1] == 0 or i % 2)][:6]
+        want |= {(u, i, c + p[1], n) for n, i in enumerate(free, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert met.value < 0.4 * 200 * 5000
+
+
+def test_scores_given_as_a_function_rank_bit_for_bit(spark):
+    from affinis.operators import topk
+
+    users = [(u, [u], 0.1 * u) for u in range(60)]
+    prof = spark.createDataFrame(users, "userid int, owned array<int>, m double")
+    rows = [(i, (i * 37 % 11) / 3.0, float(i % 50)) for i in range(900)]
+    items = spark.createDataFrame(rows, "itemid int, a double, b double")
+    got = topk.pruned_topk(prof, items, lambda u, v: hyb.blend_values(v[:, 0], u[:, 0] + v[:, 1] / 50.0, 0.1), 150,
+                           [F.lit(0.1), F.lit(0.9 / 50.0)], [F.col("a"), F.col("b")], F.col("m") * 0.9, segment_items=32, own=[F.col("m")])
+    want = set()
+    for u, owned, m in users:
+        best = sorted((-(a * 0.1 + (m + b / 50.0) * (1.0 - 0.1)), i) for i, a, b in rows if i not in owned)[:150]
+        want |= {(u, i, -s, n) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_cf_topk_needs_no_longer_lists_for_heavy_owners(spark):
+    """One user owns nearly the whole catalogue: the others' lists stay k long
+    (before, every user's list was k + the largest number of owned items)."""
+    from affinis.operators import models
+    from affinis.params import Params
+
+    r = spark.range(4000).selectExpr("cast(id % 40 as int) as userid", "cast(id * 7 % 97 as int) as itemid",
+                                     "cast(1 + id * id % 5 as double) as rating").dropDuplicates(["userid", "itemid"])
+    heavy = spark.range(95).selectExpr("41 as userid", "cast(id as int) as itemid", "3.0D as rating")
+    r = r.where("itemid % 3 = userid % 3").unionByName(heavy)
+    model = models.fit_als(r, Params())
+    got = models.cf_topk(model, r.select("userid"), r, 4)
+    scores = {(x.userid, x.itemid): x.prediction for x in model.transform(r.select("userid").distinct().crossJoin(r.select("itemid").distinct())).collect()}
+    owned = {(x.userid, x.itemid) for x in r.collect()}
+    by_user = {}
+    for x in got.collect():
+        assert (x.userid, x.itemid) not in owned and abs(scores[x.userid, x.itemid] - x.prediction) < 1e-5
+        by_user.setdefault(x.userid, []).append(x.prediction)
+    for u in {u for u, _ in scores}:
+        best = sorted((-s for (v, i), s in scores.items() if v == u and (v, i) not in owned))[:4]
+        assert len(by_user[u]) == len(best) <= 4
+        assert all(abs(a + b) < 1e-5 for a, b in zip(sorted(by_user[u], reverse=True), best))
+
+
 def test_share_of_scores_met(spark):
     """Counts scores, not operator names: under a fifth of users x items for ten
     items by ALS factors, under a twentieth for the stand-ins, on sf0.1."""
