@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import columns as cols
-from affinis.operators.prefix import running_agg
 from affinis.session import stored
 
 RATINGS_CSV_SCHEMA = "userid int, itemid int, rating double, timestamp string"
@@ -111,16 +110,34 @@ def erp_ratings(orders: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason)
 
 
+#: Lines of a task of a forward fill, about; the tasks follow the lines.
+FILL_LINES = 1 << 19
+
+
 def forward_fill(df: DataFrame, col: str, partition: list[str], order: str,
-                 bucket: int = 1 << 20, out: str | None = None) -> DataFrame:
+                 bucket: int = 1 << 17, out: str | None = None) -> DataFrame:
     """WIN4: replace empty ``col`` by the last non-empty value before it in
-    ``order`` within ``partition`` (bucketed running max of (order, value),
-    so a long file is not one window partition)."""
-    present = F.when(F.length(F.coalesce(F.col(col), F.lit(""))) > 0,
-                     F.struct(F.col(order).alias("o"), F.col(col).alias("v")))
-    d = df.withColumn("_lv", present)
-    d = running_agg(d, partition, [order], "_lv", "max", True, bucket, "_last")
-    return d.withColumn(out or col, F.col("_last.v")).drop("_lv", "_last")
+    ``order`` within ``partition``.
+
+    A window spans one bucket of ``order``.  What a bucket hands to the next is its
+    last non-empty row: found by a maximum of ``order`` (a number, so that it is
+    hashed and combined map-side, no line is sorted for it), one row a bucket."""
+    full = F.length(F.coalesce(F.col(col), F.lit(""))) > 0
+    keys = [*partition, "_bkt"]
+    d = df.withColumn("_bkt", F.floor(F.col(order) / F.lit(bucket)).cast("long"))
+    ends = d.where(full).groupBy(*keys).agg(F.max(order).alias(order))
+    last = d.where(full).select(*keys, order, F.col(col).alias("_v")).join(ends, [*keys, order])
+    last = last.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("o"), "_v")).alias("_e"))
+    # a bucket without a value passes the earlier one on: every bucket has a row
+    chain = d.select(*keys).distinct().join(last, keys, "left")
+    before = Window.partitionBy(*partition).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chain.select(*keys, F.max("_e").over(before)["_v"].alias("_carried"))
+    within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tasks = max(1, -(-df.count() // FILL_LINES))
+    filled = (d.repartition(tasks, *keys)
+              .withColumn("_in", F.last(F.when(full, F.col(col)), ignorenulls=True).over(within)))
+    return (filled.join(carried, keys, "left").withColumn(out or col, F.coalesce("_in", "_carried"))
+            .drop("_bkt", "_in", "_carried"))
 
 
 def erp_products(products: DataFrame) -> DataFrame:

@@ -195,3 +195,23 @@ def test_register_new_keeps_the_first(spark):
     old = spark.createDataFrame([("view", 1.0)], "name string, weight double")
     new = spark.createDataFrame([("buy", 9.0, 2), ("buy", 4.0, 1), ("view", 3.0, 0)], "name string, weight double, seq int")
     assert [tuple(r) for r in sinks.register_new(old, new, "name", "seq").collect()] == [("buy", 4.0, 1)]
+
+
+def test_forward_fill_tasks_follow_the_lines(spark, monkeypatch):
+    """Long files are filled by many tasks of few lines, whatever the shuffle setting,
+    and a value reaches lines many buckets later."""
+    from pyspark.sql import functions as F
+
+    from affinis.sources import files
+
+    monkeypatch.setattr(files, "FILL_LINES", 500, raising=False)
+    value = F.when((F.col("id") % 1000 == 3) | (F.col("id") % 1000 == 40), F.concat(F.lit("v"), "id")).otherwise(F.when(F.col("id") % 2 == 0, F.lit("")))
+    lines = spark.range(20_000).select(F.concat(F.lit("f"), F.col("id") % 1).alias("_file"), F.col("id").alias("_line"), value.alias("v"))
+    got = files.forward_fill(lines, "v", ["_file"], "_line", 100)
+    sizes = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("v"), F.max("_file")).collect()
+    assert max(r["count"] for r in sizes) <= 3000
+    held, want = None, {}
+    for r in lines.orderBy("_line").collect():
+        held = r.v or held
+        want[r["_line"]] = held
+    assert {r["_line"]: r.v for r in got.collect()} == want
