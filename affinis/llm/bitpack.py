@@ -46,11 +46,17 @@ def id_bits(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as one little-endian bit string, padded to whole bytes."""
     wide = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes: the same string without taking bits apart
+        return wide[:, :bits // 8].tobytes()
     return np.packbits(np.unpackbits(wide, axis=1, count=bits, bitorder="little").ravel(),
                        bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
+    if bits % 8 == 0:
+        whole = np.zeros((count, 4), np.uint8)
+        whole[:, :bits // 8] = np.frombuffer(data, np.uint8, count * bits // 8).reshape(count, bits // 8)
+        return whole.view("<u4").ravel()
     cells = np.unpackbits(np.frombuffer(data, np.uint8), count=bits * count, bitorder="little")
     wide = np.zeros((count, 32), np.uint8)
     wide[:, :bits] = cells.reshape(count, bits)

@@ -599,3 +599,23 @@ def test_scan_of_a_long_text_numbers_words_as_counting_does():
         for i in range(len(words)) if words[i:i + len(p)] == p)
     assert len(spans) == 600 and [s.first_word for s in spans[:3]] == [0, 7, 14]
     assert all(b.first_word - a.first_word == len(words) // 200 for a, b in zip(spans, spans[3:], strict=False))
+
+
+def test_ids_of_whole_bytes_are_not_taken_apart(monkeypatch):
+    """Ids of 8, 16, 24 bits are cut from their bytes; the string is the bitwise one."""
+    import numpy as np
+
+    from affinis.llm import bitpack
+
+    ids = np.array([0, 1, 255, 77], np.uint32)
+    bitwise = np.packbits(np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=16, bitorder="little").ravel(),
+                          bitorder="little").tobytes()
+
+    def never(*a, **k):
+        raise AssertionError("taken apart")
+
+    monkeypatch.setattr(bitpack.np, "unpackbits", never)
+    assert bitpack.pack(ids, 16) == bitwise
+    for bits in (8, 16, 24):
+        assert (bitpack.unpack(bitpack.pack(ids, bits), bits, len(ids)) == ids).all()
+        assert bitpack.unpack(bitpack.pack(ids[:0], bits), bits, 0).size == 0
