@@ -125,6 +125,44 @@ def test_users_of_equal_scores_read_the_first_ids_only(spark):
     assert met.value < 0.4 * 200 * 5000
 
 
+@pytest.mark.parametrize("k, block_items", [(4, 64), (4, 4096), (120, 64)])
+def test_tied_items_are_not_walked_one_by_one(spark, k, block_items):
+    """Users whose vector has a zero tie all items that differ only there, and equal
+    vectors tie for everybody: what is met follows the users, not the ties."""
+    from affinis.operators import topk
+
+    n = 6000
+    vectors = [(1.0, 0.0), (0.0, -0.5), (1.0, 0.25), (0.0, 0.0), (-0.5, 0.0)]
+    users = [(u, sorted({(u * 7 + 5 * j) % n for j in range(u % 40)} | {4, 9, 14}), 0.5 * u, list(vectors[u % 5])) for u in range(300)]
+    prof = spark.createDataFrame(users, "userid int, owned array<int>, c double, p array<double>")
+    rows = [(i, [float(i % 5), float(i * 17 % n // 600)]) for i in range(n)]
+    items = spark.createDataFrame(rows, "itemid int, q array<double>")
+    met = spark.sparkContext.accumulator(0)
+    got = topk.pruned_topk(prof, items, None, k, [F.col("p")[0], F.col("p")[1]], [F.col("q")[0], F.col("q")[1]], F.col("c"),
+                           segment_items=block_items, met=met).collect()
+    want = set()
+    for u, owned, c, p in users:
+        own = set(owned)
+        best = sorted((-(c + p[0] * q[0] + p[1] * q[1]), i) for i, q in rows if i not in own)[:k]
+        want |= {(u, i, -s, r) for r, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert met.value < 300 * 4 * (2 * k + 32)
+
+
+def test_first_ids_of_equal_vectors_over_batches():
+    import numpy as np
+
+    from affinis.operators import topk
+
+    rng = np.random.default_rng(3)
+    q = np.sort(rng.integers(0, 6, 500)).astype(float)[:, None]
+    own, ids, cut = np.zeros(500, np.int32), np.arange(500), np.r_[0, np.sort(rng.integers(0, 500, 40)), 500]
+    firsts = topk._Firsts(7)
+    kept = np.concatenate([firsts(own[a:z], q[a:z], ids[a:z]) for a, z in zip(cut[:-1], cut[1:]) if z > a])
+    want = np.concatenate([np.arange((q[:, 0] == v).sum()) < 7 for v in range(6)])
+    assert (kept == want).all()
+
+
 def test_scores_given_as_a_function_rank_bit_for_bit(spark):
     from affinis.operators import topk
 
