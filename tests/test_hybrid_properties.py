@@ -149,6 +149,55 @@ def test_tied_items_are_not_walked_one_by_one(spark, k, block_items):
     assert met.value < 300 * 4 * (2 * k + 32)
 
 
+def test_id_lists_of_scattered_and_standing_rows(spark):
+    import random
+
+    rows = [(u, u * 1000 + 7 * r, r) for u in range(40) for r in range(1, 1 + u)]
+    rows += [(None, 5, 1), (None, 6, 2), (0, 9, 1)]
+    want = {}
+    for u, i, r in sorted(rows, key=lambda x: x[2]):
+        want.setdefault(u, []).append(i)
+    for order in ("standing", "scattered"):
+        if order == "scattered":
+            random.Random(4).shuffle(rows)
+        df = spark.createDataFrame(rows, "userid int, itemid int, rank int").repartition(3)
+        for standing in (True, False):
+            plan = hyb.id_lists(df, standing=standing)
+            assert plan.schema.simpleString() == "struct<userid:int,recommended_ids:array<int>>"
+            assert {r.userid: r.recommended_ids for r in plan.collect()} == want
+    pieces = spark.createDataFrame([(1, [7, 3], 4), (1, [9, 8, 2], 1), (2, [5], 1)], "userid int, itemid array<int>, rank int")
+    assert {r.userid: r.recommended_ids for r in hyb.id_lists(pieces).collect()} == {1: [9, 8, 2, 7, 3], 2: [5]}
+
+
+def test_id_lists_put_standing_ids_together():
+    """What is shuffled for lists is a few rows a user, not a row an id."""
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"_k": [1] * 500 + [2] * 500, "_r": [*range(1, 501)] * 2, "_i": [*range(1000)]})
+    got = pa.Table.from_batches(hyb._pieces([b])).to_pydict()
+    assert got == {"_k": [1, 2], "_r": [1, 1], "_ids": [[*range(500)], [*range(500, 1000)]]}
+
+
+def test_partitions_hold_users_in_order(spark):
+    """``write_predictions(in_order=True)`` counts on it."""
+    from affinis.operators import topk
+
+    users = [(u * 7919 % 1000, [u % 50], [0.0, 0.0] if u % 3 else [1.0, (u % 11) / 4.0]) for u in range(300)]
+    prof = spark.createDataFrame(users, "userid int, owned array<int>, p array<double>").repartition(4)
+    items = spark.range(900).selectExpr("cast(id as int) as itemid", "array(cast(id % 7 as double), cast(id % 13 as double)) as q")
+    got = topk.pruned_topk(prof, items, None, 20, [F.col("p")[0], F.col("p")[1]], [F.col("q")[0], F.col("q")[1]])
+    rows = got.select(F.spark_partition_id().alias("part"), "userid", "rank").collect()
+    assert len(rows) == 300 * 20 and len({r.part for r in rows}) > 2
+    place = {}
+    for r in rows:
+        place.setdefault(r.part, []).append((r.userid, r["rank"]))
+    assert all(v == sorted(v) for v in place.values())
+    assert len({(part, u) for part, v in place.items() for u, _ in v}) == 300
+    lists = topk.pruned_topk(prof, items, None, 20, [F.col("p")[0], F.col("p")[1]], [F.col("q")[0], F.col("q")[1]], lists=True)
+    assert {tuple(r) for r in hyb.id_lists(lists).select("userid", F.posexplode("recommended_ids")).collect()} == {
+        (r.userid, r["rank"] - 1, r.itemid) for r in got.collect()}
+
+
 def test_first_ids_of_equal_vectors_over_batches():
     import numpy as np
 
