@@ -369,3 +369,19 @@ def test_unrated_pairs_of_the_whole_catalogue(spark):
     got = [tuple(r) for r in q_unrated_pairs_catalogue(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert want > {tuple(r) for r in q_unrated_pairs(spark, sf).collect()}
+
+
+def test_user_models_roundtrip_resolves_the_log_once(spark, monkeypatch):
+    """Fitting and scoring read the same stored ratings, and score by the saved models."""
+    from affinis.plans import queries as q
+
+    sf, resolved, ratings = "/root/testdata/sf0.001", [], q.tables.ratings
+    monkeypatch.setattr(q.tables, "ratings", lambda *a: resolved.append(a) or ratings(*a))
+    got = q.q_user_models_roundtrip(spark, sf).collect()
+    assert len(resolved) == 1
+    coefs = {r.userid: r for r in q.q_user_models(spark, sf).collect()}
+    vectors = {r.itemid: r.features for r in q._features(spark, sf).collect()}
+    assert got
+    for r in got:
+        want = coefs[r.userid].intercept + sum(a * b for a, b in zip(coefs[r.userid].coef, vectors[r.itemid]))
+        assert abs(r.prediction - want) < 1e-9
