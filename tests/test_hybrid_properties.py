@@ -385,3 +385,31 @@ def test_user_models_roundtrip_resolves_the_log_once(spark, monkeypatch):
     for r in got:
         want = coefs[r.userid].intercept + sum(a * b for a, b in zip(coefs[r.userid].coef, vectors[r.itemid]))
         assert abs(r.prediction - want) < 1e-9
+
+
+def test_long_lists_rank_each_user_by_itself(spark):
+    """Final ranks of users with fewer items than k, equal scores and scores of minus
+    infinity among them: one order a user, no sort over all users' pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from affinis.operators import topk
+
+    rng, n, k = np.random.default_rng(5), 60, 120
+    users = pa.table({"u": np.arange(n)[::-1], "p": pa.array([[1.0]] * n), "c": np.zeros(n), "own": pa.array([[0.0]] * n),
+                      "owned": pa.array([[]] * n, pa.list_(pa.int64())), "t": pa.nulls(n, pa.float64())})
+    run, want = topk._Run(users, 1, k, 1.0, None, False), []
+    for row in range(n):
+        many = int(rng.integers(0, k + 1))
+        items, scores = rng.permutation(500)[:many].astype(np.int64), rng.integers(0, 7, many).astype(float)
+        scores[scores == 0] = -np.inf
+        run.rows.append(np.full(many, row, np.int32)), run.items.append(items), run.scores.append(scores)
+        best = sorted(zip(-scores, items))
+        want += [(int(run.u[row]), int(i), float(-s), r) for r, (s, i) in enumerate(best, 1)]
+    sorts, lexsort = [], np.lexsort
+    topk.np.lexsort = lambda keys, *a: sorts.append(len(keys[0])) or lexsort(keys, *a)
+    try:
+        got = [(int(u), int(i), float(s), int(r)) for part in run.ranked() for u, i, s, r in zip(*part)]
+    finally:
+        topk.np.lexsort = lexsort
+    assert got == sorted(want, key=lambda x: (x[0], x[3])) and not sorts
