@@ -413,3 +413,29 @@ def test_long_lists_rank_each_user_by_itself(spark):
     finally:
         topk.np.lexsort = lexsort
     assert got == sorted(want, key=lambda x: (x[0], x[3])) and not sorts
+
+
+def test_popular_items_read_the_ratings_once(spark):
+    """However many times the stats are used, and with the same rows as counted plainly."""
+    from affinis.operators import popular as pop
+
+    rows = [(u, u * i % 23, float(1 + (u + i) % 5)) for u in range(40) for i in range(1, 6)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    ratings = spark.createDataFrame(rows, "userid int, itemid int, rating double")
+    ratings = ratings.mapInArrow(counted, ratings.schema)
+    by_item = {}
+    for _, i, r in rows:
+        by_item.setdefault(i, []).append(r)
+    for bound_on, bound in (("ratings", len(rows) // 10), ("items", len(by_item) // 10)):
+        read.value = 0
+        got = [(r.itemid, r.mean_rating, r.n_ratings) for r in pop.popular_items(ratings, bound_on).collect()]
+        assert read.value == len(rows)
+        best = sorted(by_item, key=lambda i: (-len(by_item[i]), i))[:bound]
+        assert sorted(got) == sorted((i, sum(by_item[i]) / len(by_item[i]), len(by_item[i])) for i in best)
+    assert pop.popular_items(ratings.limit(0)).count() == 0
